@@ -135,7 +135,7 @@ SHARED_SQL.update({
         FROM {cand_exact} c LEFT JOIN {cand_dates} d USING (id) LEFT JOIN {cand_cp} n USING (id)""",
     "cand_scored": """SELECT *, CASE WHEN exact THEN 1.0e0
         ELSE 0.5e0 * amount_score + 0.2e0 * date_score + 0.3e0 * cp_score END AS score FROM {cand_parts}""",
-    "linked": """SELECT s.*, CAST(round(CAST(score AS DECIMAL(20, 18)), 4) AS DOUBLE) AS link_confidence,
+    "linked": """SELECT s.*, CAST(printf('%.4f', score) AS DOUBLE) AS link_confidence,
         CASE WHEN mismatch THEN 'needs_review' WHEN score >= auto_link_threshold THEN 'auto_linked'
              WHEN score >= review_floor THEN 'needs_review' END AS status
         FROM {cand_scored} s JOIN {books} b ON b.id = s.client_book_id""",
@@ -214,7 +214,7 @@ def _(m):
     return _flat(C.dedupe_candidates(candidate_groups(m.entities, m.books)))
 
 
-@query("link_confidence", """SELECT id, exact, CAST(round(CAST(score AS DECIMAL(20, 18)), 4) AS DOUBLE) AS link_confidence FROM {cand_scored}""")
+@query("link_confidence", """SELECT id, exact, CAST(printf('%.4f', score) AS DOUBLE) AS link_confidence FROM {cand_scored}""")
 def _(m):
     best = C.dedupe_candidates(candidate_groups(m.entities, m.books))
     return C.score_groups(best, m.entities).select("id", "exact", "link_confidence")
