@@ -484,7 +484,7 @@ def _(m):
 SHARED_SQL["period_actions"] = """SELECT reconciliation_period_id AS period_id,
         CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'close' ELSE 'reopen' END AS action,
         CASE WHEN CAST(substr(id, 2) AS BIGINT) % 7 = 0 THEN ' ' ELSE 'late entry' END AS reason,
-        CAST(substr(id, 2) AS BIGINT) AS at FROM {requests}"""
+        CAST(substr(id, 2) AS BIGINT) AS n FROM {requests}"""
 
 
 @query("period_state", """SELECT p.id AS period_id, p.client_book_id, p.period_start, p.period_end,
@@ -494,7 +494,7 @@ SHARED_SQL["period_actions"] = """SELECT reconciliation_period_id AS period_id,
     FROM (SELECT p.*, CASE WHEN h.newest = 'close' AND (p.status = 'open' OR h.reopens) THEN 'close'
             WHEN h.newest = 'reopen' AND (p.status <> 'open' OR h.closes) THEN 'reopen' END AS eff
           FROM {periods} p LEFT JOIN (
-            SELECT period_id, arg_max(action, at) AS newest, bool_or(action = 'close') AS closes, bool_or(action = 'reopen') AS reopens
+            SELECT period_id, arg_max(action, n) AS newest, bool_or(action = 'close') AS closes, bool_or(action = 'reopen') AS reopens
             FROM {period_actions} WHERE (action = 'close' AND period_id NOT IN (SELECT period_id FROM {blockers}))
                OR (action = 'reopen' AND trim(reason) <> '') GROUP BY period_id) h ON h.period_id = p.id) p
     LEFT JOIN {balances} b ON b.period_id = p.id""")

@@ -226,7 +226,7 @@ MODEL: dict[str, str] = {
         FROM {events}""",
 }
 
-_REF = re.compile(r"\{(\w+)\}")
+_REF = re.compile(r"\{([a-z]\w*)\}")
 
 
 def references(sql: str) -> list[str]:

@@ -30,4 +30,4 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql_counterparts() -> dict[str, str]:
-    return {name: with_model(sql, SHARED_SQL) for name, sql in _SQL.items()}
+    return {name: with_model(sql, SHARED_SQL).replace("@@", "{:,}") for name, sql in _SQL.items()}
