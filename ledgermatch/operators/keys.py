@@ -26,6 +26,11 @@ def dates_match(earlier: Column, later: Column) -> Column:
     return earlier.isNull() | later.isNull() | gap.between(0, LOOKBACK_DAYS)
 
 
+def dates_within(first: Column, last: Column, days: int = TIGHT_DAYS) -> Column:
+    """The known dates of a combination lie close together; fewer than two always do."""
+    return F.coalesce(F.datediff(last, first) <= days, F.lit(True))
+
+
 def band_width(tolerance: Column) -> Column:
     # several tolerances wide: a searched range then touches one band mostly, two at worst
     return 8 * (tolerance + 1)

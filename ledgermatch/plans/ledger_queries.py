@@ -9,9 +9,11 @@ from ledgermatch.operators import periods as PD
 from ledgermatch.operators import reports as R
 from ledgermatch.operators import verify as V
 from ledgermatch.operators.candidates import unmatched_entities
-from ledgermatch.plans.link import link_book
 from ledgermatch.operators.candidates import member_rows
+from ledgermatch.plans.link import link_book
 from ledgermatch.plans.registry import SHARED_SQL, query
+from ledgermatch.session import scratch_path
+from ledgermatch.sources.sinks import persist_findings, persist_groups
 
 c = F.col
 AS_OF = "2024-02-10"
@@ -184,22 +186,25 @@ def _(m):
     return m.documents.select("doc_id", V.rule_version(c("text")).alias("rule_version"))
 
 
-@query("persist_findings_new", """SELECT reconciliation_group_id, severity FROM {findings}
-    WHERE reconciliation_group_id NOT IN (SELECT id FROM {groups} WHERE seq % 3 = 0)""")
+@query("persist_findings", """SELECT reconciliation_group_id, severity FROM {findings}""")
 def _(m):
-    from ledgermatch.sources.sinks import new_findings
-    stored = m.groups.filter("seq % 3 = 0").select(c("id").alias("reconciliation_group_id"))
-    return new_findings(_findings(m), stored).select("reconciliation_group_id", "severity")
+    path, found = scratch_path(m.spark), _findings(m).select("reconciliation_group_id", "severity")
+    first = found.filter(F.pmod(F.substring("reconciliation_group_id", 4, 20).cast("long"), F.lit(3)) == 0)
+    persist_findings(first, path)
+    persist_findings(found, path)  # adds the rest
+    persist_findings(found, path)  # a replay adds nothing
+    return m.spark.read.schema(found.schema).parquet(path)
 
 
-@query("persist_groups_rows", """SELECT reconciliation_group_id, extracted_entity_id, role FROM {members}
+@query("persist_groups", """SELECT reconciliation_group_id, extracted_entity_id, role FROM {members}
     WHERE reconciliation_group_id IN (SELECT reconciliation_group_id FROM {leg_totals} WHERE has_bank AND has_gl)""")
 def _(m):
-    from ledgermatch.sources.sinks import group_tables
     ids = [F.collect_list(F.when(c("role") == r, c("extracted_entity_id"))).alias(f"{r}_ids") for r in ("invoice", "bank", "gl")]
     groups = (m.members.groupBy(c("reconciliation_group_id").alias("id")).agg(*ids)
               .join(m.groups.select("id", "client_book_id", "link_confidence", "status"), "id"))
-    return group_tables(groups)[1]
+    heads, rows = scratch_path(m.spark), scratch_path(m.spark)
+    persist_groups(groups, heads, rows)
+    return m.spark.read.schema("reconciliation_group_id string, extracted_entity_id string, role string").parquet(rows)
 
 
 # ---- lists --------------------------------------------------------------------------------------

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.names import keep_same_vendor
 from ledgermatch.operators import candidates as C
+from ledgermatch.operators import keys as K
 from ledgermatch.operators import passes as P
+from ledgermatch.operators import verify as V
 from ledgermatch.operators.vendors import similar_name_pairs
 from ledgermatch.plans.link import candidate_groups, link_book
 from ledgermatch.plans.registry import SHARED_SQL, query
@@ -238,3 +241,97 @@ def _(m):
 def _(m):
     g = link_book(m.entities, m.books)
     return C.unmatched_entities(m.entities.select("id", "client_book_id", "entity_type"), C.member_rows(g, "id"))
+
+
+# ---- the single conditions and scores, on the stored groups -------------------------------------
+SHARED_SQL.update({
+    "stored_pairs": """SELECT m.reconciliation_group_id AS gid, b.id AS bank_id, g.id AS gl_id, b.amount_cents AS a, g.amount_cents AS b,
+        b.transaction_date AS da, g.transaction_date AS db, b.counterparty AS na, g.counterparty AS nb, k.tolerance_cents AS tol
+        FROM {members} m JOIN {entities} b ON b.id = m.extracted_entity_id AND m.role = 'bank'
+        JOIN {members} n ON n.reconciliation_group_id = m.reconciliation_group_id AND n.role = 'gl'
+        JOIN {entities} g ON g.id = n.extracted_entity_id JOIN {books} k ON k.id = b.client_book_id""",
+    "stored_members": """SELECT m.reconciliation_group_id AS gid, m.role, e.id, e.transaction_date, e.counterparty, e.amount_cents
+        FROM {members} m JOIN {entities} e ON e.id = m.extracted_entity_id""",
+})
+
+
+def _stored_pairs(m):
+    e = m.entities.select(F.col("id").alias("extracted_entity_id"), "client_book_id", "amount_cents", "transaction_date", "counterparty")
+    rows = m.members.join(e, "extracted_entity_id")
+
+    def side(role, names):
+        return rows.filter(F.col("role") == role).select(
+            F.col("reconciliation_group_id").alias("gid"), *(F.col(a).alias(b) for a, b in names.items()))
+
+    bank = side("bank", {"extracted_entity_id": "bank_id", "amount_cents": "a", "transaction_date": "da", "counterparty": "na",
+                         "client_book_id": "client_book_id"})
+    gl = side("gl", {"extracted_entity_id": "gl_id", "amount_cents": "b", "transaction_date": "db", "counterparty": "nb"})
+    tol = m.books.select(F.col("id").alias("client_book_id"), F.col("tolerance_cents").alias("tol"))
+    return bank.join(gl, "gid").join(tol, "client_book_id")
+
+
+@query("amounts_match", "SELECT bank_id, gl_id, abs(abs(a) - abs(b)) <= tol AS ok FROM {stored_pairs}")
+def _(m):
+    return _stored_pairs(m).select("bank_id", "gl_id", K.amounts_match(F.col("a"), F.col("b"), F.col("tol")).alias("ok"))
+
+
+@query("dates_match", f"SELECT bank_id, gl_id, {_days('da', 'db')} AS ok FROM {{stored_pairs}}")
+def _(m):
+    return _stored_pairs(m).select("bank_id", "gl_id", K.dates_match(F.col("da"), F.col("db")).alias("ok"))
+
+
+@query("counterparties_match", f"SELECT bank_id, gl_id FROM {{stored_pairs}} WHERE {_same('na', 'nb')}")
+def _(m):
+    return keep_same_vendor(_stored_pairs(m), "na", "nb").select("bank_id", "gl_id")
+
+
+@query("combo_dates_within_window", """SELECT gid, coalesce(max(transaction_date) - min(transaction_date) <= 3, true) AS ok
+    FROM {stored_members} WHERE role = 'bank' GROUP BY gid""")
+def _(m):
+    e = m.entities.select(F.col("id").alias("extracted_entity_id"), "transaction_date")
+    return (m.members.filter("role = 'bank'").join(e, "extracted_entity_id").groupBy(F.col("reconciliation_group_id").alias("gid"))
+            .agg(K.dates_within(F.min("transaction_date"), F.max("transaction_date")).alias("ok")))
+
+
+def _stored_totals(m):
+    totals = V.group_leg_totals(V.group_members(m.groups, m.members, m.entities, m.books))
+    return totals.withColumn("tol", F.col("tolerance_cents"))
+
+
+SHARED_SQL["stored_totals"] = """SELECT *, CASE WHEN invoice_total <> 0 THEN invoice_total WHEN bank_total <> 0 THEN bank_total ELSE gl_total END AS first_total,
+    CAST(invoice_total <> 0 AS INT) + CAST(bank_total <> 0 AS INT) + CAST(gl_total <> 0 AS INT) AS n_legs FROM {leg_totals}"""
+
+
+@query("is_exact", f"""SELECT reconciliation_group_id AS gid, n_legs >= 2
+    AND (invoice_total = 0 OR {_equal('first_total', 'invoice_total', 'tolerance_cents')})
+    AND (bank_total = 0 OR {_equal('first_total', 'bank_total', 'tolerance_cents')})
+    AND (gl_total = 0 OR {_equal('first_total', 'gl_total', 'tolerance_cents')}) AS exact FROM {{stored_totals}}""")
+def _(m):
+    return _stored_totals(m).select(F.col("reconciliation_group_id").alias("gid"), C.is_exact().alias("exact"))
+
+
+@query("amount_score", """SELECT reconciliation_group_id AS gid, round(greatest(0.0e0, 1.0e0 - coalesce(list_avg(list_filter([
+        CASE WHEN invoice_total <> 0 AND bank_total <> 0 THEN abs(invoice_total - bank_total) END,
+        CASE WHEN invoice_total <> 0 AND gl_total <> 0 THEN abs(invoice_total - gl_total) END,
+        CASE WHEN bank_total <> 0 AND gl_total <> 0 THEN abs(bank_total - gl_total) END], lambda v: v IS NOT NULL)), 0.0e0)
+      / greatest(abs(invoice_total), abs(bank_total), abs(gl_total), 1)), 6) AS score FROM {leg_totals}""")
+def _(m):
+    return _stored_totals(m).select(F.col("reconciliation_group_id").alias("gid"), F.round(C.amount_score(), 6).alias("score"))
+
+
+@query("date_score", """SELECT gid, round(CASE WHEN count(transaction_date) < 2 THEN 0.0e0 WHEN max(transaction_date) = min(transaction_date) THEN 1.0e0
+    ELSE greatest(0.0e0, 1.0e0 - (max(transaction_date) - min(transaction_date)) / 3.0e0) END, 6) AS score FROM {stored_members} GROUP BY gid""")
+def _(m):
+    e = m.entities.select(F.col("id").alias("extracted_entity_id"), "transaction_date")
+    return m.members.join(e, "extracted_entity_id").groupBy(F.col("reconciliation_group_id").alias("gid")).agg(
+        F.round(C.date_score(F.min("transaction_date"), F.max("transaction_date"), F.count("transaction_date")), 6).alias("score"))
+
+
+@query("counterparty_score", """SELECT gid, round(CASE WHEN count(*) > 0 THEN avg(s) END, 6) AS score FROM (
+    SELECT x.gid, jaro_winkler_similarity(lower(x.counterparty), lower(y.counterparty)) AS s FROM {stored_members} x JOIN {stored_members} y
+      ON x.gid = y.gid AND x.id < y.id WHERE length(x.counterparty) > 0 AND length(y.counterparty) > 0) t GROUP BY gid""")
+def _(m):
+    e = m.entities.select(F.col("id").alias("extracted_entity_id"), F.col("counterparty").alias("name"))
+    names = m.members.join(e, "extracted_entity_id").select(F.col("reconciliation_group_id").alias("gid"), "name")
+    scored = C.counterparty_score(names, "gid").filter("pairs > 0")
+    return scored.select("gid", F.round("cp_score", 6).alias("score"))

@@ -114,7 +114,8 @@ def _(m):
                                                     (kind != "equity").alias("is_reconcilable")).alias("a"))
     templates = rows.groupBy("template_id").agg(F.to_json(F.collect_list("a")).alias("accounts"))
     requests = m.books.select(c("id").alias("client_book_id"), F.concat(F.lit("Brand#"), (1 + F.length("id") % 5).cast("string")).alias("template_id"))
-    have = m.books.filter("length(id) % 2 = 0").select(c("id").alias("client_book_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).cast("string").alias("account_code"))
+    have = m.books.filter("length(id) % 2 = 0").select(c("id").alias("client_book_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("account_code")).withColumn(
+        "account_code", c("account_code").cast("string"))
     return V.apply_coa_template(have, templates, requests)
 
 

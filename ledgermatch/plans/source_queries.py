@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgermatch.functions import dates, geometry, money, text
-from ledgermatch.operators import keys as K
-from ledgermatch.operators.lists import ENUMS  # noqa: F401  (re-exported for readers of the catalogue)
 from ledgermatch.operators.regions import overlapping_regions
 from ledgermatch.operators.review import default_reconcilable
 from ledgermatch.plans.registry import SHARED_SQL, query
+from ledgermatch.session import scratch_path
 from ledgermatch.sources import documents as D
 from ledgermatch.sources import ocr as O
 from ledgermatch.sources import sinks
@@ -450,12 +449,14 @@ def _(m):
     return D.list_documents(_uploads(m).drop("content")).select("document_id", "client_book_id")
 
 
-@query("persist_entities_rows", """SELECT id, nullif(counterparty, '') AS counterparty,
+@query("persist_entities", """SELECT id, client_book_id, nullif(counterparty, '') AS counterparty,
     CASE WHEN seq % 6 <> 0 THEN transaction_date END AS transaction_date FROM {entities}""")
 def _(m):
-    raw = m.entities.select("id", F.coalesce("counterparty", F.lit("")).alias("counterparty"), F.when(c("seq") % 6 == 0, "n/a").otherwise(
+    path = scratch_path(m.spark)
+    raw = m.entities.select("id", "client_book_id", F.coalesce("counterparty", F.lit("")).alias("counterparty"), F.when(c("seq") % 6 == 0, "n/a").otherwise(
         c("transaction_date").cast("string")).alias("transaction_date"))
-    return sinks.entity_rows(raw)
+    sinks.persist_entities(raw, path)
+    return m.spark.read.schema("id string, counterparty string, transaction_date date, client_book_id string").parquet(path)
 
 
 # ---- column maps --------------------------------------------------------------------------------

@@ -30,7 +30,7 @@ def build_session(app: str = "ledgermatch", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a local run without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -43,6 +43,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -50,6 +55,6 @@ def materialise(df: DataFrame) -> DataFrame:
     costs a re-read instead of a recomputation, and the planner knows the true size of what it
     joins (so it broadcasts only what is measured to be small).
     """
-    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
