@@ -21,9 +21,8 @@ SAME_VENDOR = 0.90
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     width = max(int(lengths.max(initial=0)), 1)
-    grid = np.zeros((len(texts), width), dtype=np.int32)
-    for row, text in enumerate(texts):
-        grid[row, : len(text)] = [ord(c) for c in text]
+    padded = "".join(t.ljust(width, "\0") for t in texts)
+    grid = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.int32).reshape(len(texts), width)
     return grid, lengths
 
 

@@ -48,9 +48,10 @@ def salvage_json_array(text: Column) -> Column:
     A fenced block is preferred; if what remains is not an array, the part from the first to the
     last bracket is taken.
     """
-    body = F.trim(text)
+    blanks = F.lit(" \t\r\n")
+    body = F.btrim(text, blanks)
     fenced = F.regexp_extract(body, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    inner = F.trim(F.when(body.rlike(r"(?s)```.*?```"), fenced).otherwise(body))
+    inner = F.btrim(F.when(body.rlike(r"(?s)```.*?```"), fenced).otherwise(body), blanks)
     bracketed = F.regexp_extract(inner, r"(?s)(\[.*\])", 1)
 
     def valid(t: Column) -> Column:

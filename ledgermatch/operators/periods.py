@@ -67,9 +67,15 @@ def vendor_baselines(entities: DataFrame, periods: DataFrame, through: DataFrame
             .filter(c("_r") <= count).drop("_r", "closing"))
     rows = exclude_void(entities).filter(c("counterparty").isNotNull()).select(
         "client_book_id", "transaction_date", "counterparty", "amount_cents")
+    # exact sums: a deviation that ends in half a cent must round up, not where a double drifts to
+    x = c("amount_cents").cast("decimal(19,0)")
+    spread = F.sqrt((c("n") * c("squares") - c("total") * c("total")).cast("double")) / c("n")
     return (entity_periods(rows, last).groupBy("client_book_id", "counterparty")
-            .agg(F.round(F.avg("amount_cents")).cast("long").alias("trailing_avg_cents"),
-                 F.round(F.stddev_pop("amount_cents")).cast("long").alias("trailing_stddev_cents")))
+            .agg(F.count("*").cast("decimal(10,0)").alias("n"), F.sum(x).cast("decimal(19,0)").alias("total"),
+                 F.sum((x * x).cast("decimal(27,0)")).cast("decimal(27,0)").alias("squares"))
+            .select("client_book_id", "counterparty",
+                    F.round(c("total") / c("n")).cast("long").alias("trailing_avg_cents"),
+                    F.round(spread).cast("long").alias("trailing_stddev_cents")))
 
 
 def pending_request_blockers(requests: DataFrame, periods: DataFrame) -> DataFrame:

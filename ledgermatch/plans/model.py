@@ -60,7 +60,7 @@ MODEL: dict[str, str] = {
                     ELSE 'standard' END AS entity_subtype,
                CASE WHEN k % 29 = 0 THEN -cents ELSE cents END AS amount_cents,
                CASE WHEN k % 211 = 3 THEN NULL ELSE d END AS transaction_date,
-               CASE WHEN k % 97 = 5 THEN NULL ELSE vendor END AS counterparty,
+               CASE WHEN k % 97 = 5 AND k % 211 <> 3 THEN NULL ELSE vendor END AS counterparty,
                CASE k % 9 WHEN 0 THEN concat('Credit memo ', vendor)
                           WHEN 1 THEN concat('refund of ', vendor)
                           WHEN 2 THEN concat('Reversed entry ', vendor)
@@ -98,7 +98,7 @@ MODEL: dict[str, str] = {
         SELECT id, book AS client_book_id, seq, 'bank_transaction' AS entity_type,
                'standard' AS entity_subtype, CAST(amount_cents AS BIGINT) AS amount_cents,
                dt AS transaction_date,
-               CASE WHEN seq % 89 = 5 THEN NULL
+               CASE WHEN seq % 89 = 5 AND seq % 223 <> 3 THEN NULL
                     WHEN style = 0 THEN concat(upper(vendor), '.')
                     ELSE upper(vendor) END AS counterparty,
                concat('PAYMENT ', upper(vendor)) AS description,
