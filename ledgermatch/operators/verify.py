@@ -75,13 +75,16 @@ def severity(variance: Column, tolerance: Column, bands=SEVERITY_BANDS) -> Colum
 
 
 def severity_from_table(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """Severity by a threshold table (severity, above, upto: multiples of the tolerance; upto null = open)."""
+    """Severity by a threshold table (severity, upto: multiple of the tolerance, null = no limit).
+
+    The table is folded to one array and read as a scalar subquery: no join with the rows.
+    """
     c = F.col
     table = bands.agg(F.sort_array(F.collect_list(F.struct(
-        F.coalesce("upto", F.lit(2**31)).alias("upto"), "severity"))).alias("table"))
-    first = F.filter("table", lambda b: (F.abs(c("variance_cents")) <= c("tolerance_cents") * b["upto"])
+        F.coalesce("upto", F.lit(2**31)).alias("upto"), "severity"))).alias("table")).scalar()
+    first = F.filter("_bands", lambda b: (F.abs(c("variance_cents")) <= c("tolerance_cents") * b["upto"])
                      | (b["upto"] == F.lit(2**31)))
-    return rows.crossJoin(table).withColumn("severity", first[0]["severity"]).drop("table")
+    return rows.withColumn("_bands", table).withColumn("severity", first[0]["severity"]).drop("_bands")
 
 
 def formula_text(label: Column, invoice: Column, bank: Column, gl: Column, variance: Column, tolerance: Column) -> Column:
