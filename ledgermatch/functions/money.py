@@ -57,8 +57,9 @@ def line_amount(text: Column) -> Column:
     # two decimals exactly: without the point the digits are the cents
     values = F.transform(money, lambda x: F.regexp_replace(x["core"], r"\.", "").cast("long")
                          * F.when(x["negative"], -1).otherwise(1))
-    return F.aggregate(values, F.lit(None).cast("long"), lambda best, v: F.when(
+    largest = F.aggregate(values, F.lit(None).cast("long"), lambda best, v: F.when(
         best.isNull() | (F.abs(v) >= F.abs(best)), v).otherwise(best))
+    return F.when(text.rlike(r"\d"), largest)  # most lines hold no digits at all
 
 
 def resolve_debit_credit(mapped: Column, sides: list[Column]) -> Column:

@@ -65,10 +65,12 @@ def vendor_line(own: Column, lines: Column) -> Column:
 
 def scan_ocr_layout(pages: DataFrame) -> DataFrame:
     """One entity per line with a currency amount (S4). All context lies in the block row, so there
-    is no join and no shuffle."""
-    lines = block_lines(pages).select("*", F.posexplode("lines").alias("line_no", "line"))
+    is no join and no shuffle; only amount lines are exploded together with their block."""
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    hits = block_lines(pages).withColumn("_hits", F.filter(numbered, lambda h: h["line"]["amount"].isNotNull()))
+    lines = hits.select("*", F.explode("_hits").alias("h")).select("*", "h.*")
     own = c("line")
-    return lines.filter(own["amount"].isNotNull()).select(
+    return lines.select(
         "document_id", "page_number", "block_no", "line_no", text.entity_type(c("doc_type")).alias("entity_type"),
         own["amount"].alias("amount_cents"), F.lit("USD").alias("currency"),
         nearest_date(own, c("lines")).alias("transaction_date"), vendor_line(own, c("lines")).alias("counterparty"),
