@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgermatch.llm import exact_dedup
+from ledgermatch.llm import exact_dedup, sentencepiece
 
-MODULES = [exact_dedup]
+MODULES = [sentencepiece, exact_dedup]
 
 
 def queries() -> dict:
