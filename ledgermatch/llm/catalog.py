@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgermatch.llm import exact_dedup, sentencepiece
+from ledgermatch.llm import exact_dedup, langid, sentencepiece
 
-MODULES = [sentencepiece, exact_dedup]
+MODULES = [sentencepiece, langid, exact_dedup]
 
 
 def queries() -> dict:
