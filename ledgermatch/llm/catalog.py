@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgermatch.llm import exact_dedup, langid, sentencepiece
+from ledgermatch.llm import exact_dedup, langid, quality, sentencepiece
 
-MODULES = [sentencepiece, langid, exact_dedup]
+MODULES = [sentencepiece, langid, exact_dedup, quality]
 
 
 def queries() -> dict:
