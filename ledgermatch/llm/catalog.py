@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgermatch.llm import exact_dedup, langid, quality, sentencepiece
+from ledgermatch.llm import exact_dedup, langid, ngram_join, quality, sentencepiece
 
-MODULES = [sentencepiece, langid, exact_dedup, quality]
+MODULES = [sentencepiece, ngram_join, langid, exact_dedup, quality]
 
 
 def queries() -> dict:
