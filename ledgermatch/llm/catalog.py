@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgermatch.llm import exact_dedup, langid, line_dedup, ngram_join, quality, sentencepiece, substring_dedup
+from ledgermatch.llm import exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, sentencepiece, substring_dedup
 
-MODULES = [sentencepiece, ngram_join, substring_dedup, langid, exact_dedup, line_dedup, quality]
+MODULES = [sentencepiece, ngram_join, substring_dedup, langid, exact_dedup, line_dedup, mixing, quality, packing]
 
 
 def queries() -> dict:
