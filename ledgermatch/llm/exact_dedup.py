@@ -20,6 +20,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgermatch.llm.common import documents, materialise, scratch_path, whole_text
 
@@ -69,10 +70,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def keep_first_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; of wholly repeated documents one row."""
     named = docs.withColumn("__digest", F.unhex(F.sha2(whole_text(), 256)))
-    kept = exact_dedup(docs, index).where("kept").select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    staying = named.join(kept, (F.col("__digest") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return staying.dropDuplicates(["__digest"]).drop("__digest")
+    kept = exact_dedup(docs, index).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
+    # Both need the rows of a digest together: one shuffle. What is left of a digest are repeated rows.
+    staying = named.join(kept, "__digest").where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    repeat = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest"))
+    return staying.withColumn("__repeat", repeat).where("__repeat = 1").select(docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

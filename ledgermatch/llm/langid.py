@@ -245,12 +245,12 @@ def fit(labelled: DataFrame, rows_per_language: int = 300, **options) -> Network
     return train([r["text"].encode() for r in sample], [r["lang"] for r in sample], **options)
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, from the whole text alone."""
+def predict(docs: DataFrame, net: Network | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its probability in the columns ``into``, from the whole text alone."""
     at = docs.columns.index(text)
-    kept = [i for i, name in enumerate(docs.columns) if name not in ("lang_pred", "score")]
+    kept = [i for i, name in enumerate(docs.columns) if name not in into]
     shape = T.StructType([*(docs.schema.fields[i] for i in kept),
-                          T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+                          T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
 
     def run(batches):
         for batch in batches:

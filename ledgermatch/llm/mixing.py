@@ -34,7 +34,7 @@ from ledgermatch.llm.common import documents, row_key
 MAX_SLOTS = 1 << 16
 MAX_SHARE = Fraction(1, 3)
 _BUCKET_ROWS = 4096
-_MIX = ["mix_block", "mix_release", "mix_deadline", "mix_slot"]
+_MIX = ["block", "release", "deadline", "slot"]
 
 
 def capped_weights(blocks: dict, max_share: Fraction = MAX_SHARE) -> dict:
@@ -78,18 +78,19 @@ def _source_key(source):
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fraction = MAX_SHARE,
-                max_slots: int = MAX_SLOTS, source: str = "source") -> DataFrame:
-    """``docs`` with mix_block, mix_release, mix_deadline (in slots) and mix_slot; null where not in the mix.
+                max_slots: int = MAX_SLOTS, source: str = "source", prefix: str = "mix_") -> DataFrame:
+    """``docs`` with mix_block, mix_release, mix_deadline (in slots) and mix_slot; all but the block null where not in the mix.
 
     Without ``weights`` (source -> weight) the sources' own shares count, none above ``max_share``.
     """
     spark = docs.sparkSession
-    kept = [F.col(f"row.`{name}`") for name in docs.columns if name not in _MIX]
+    mix = [prefix + x for x in _MIX]
+    kept = [F.col(f"row.`{name}`") for name in docs.columns if name not in mix]
     sizes = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # one row per source
     block_rows = max(1, -(-sum(sizes.values()) // max_slots))
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
     chosen = weights if weights is not None else capped_weights(blocks, max_share)
-    shape = T.StructType([T.StructField("__source", T.StringType()), *(T.StructField(x, T.LongType()) for x in _MIX)])
+    shape = T.StructType([T.StructField("__source", T.StringType()), *(T.StructField(x, T.LongType()) for x in mix)])
     slots = pfair_schedule(chosen, blocks) if blocks else []
     plan = spark.createDataFrame([("" if s is None else f"={s}", *rest) for s, *rest in slots], shape)
 
@@ -100,19 +101,18 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fractio
               .withColumn("__before", F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("n")).drop("n"))
     inside = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__place"))
     ranked = (rows.withColumn("__inside", inside).join(before, ["__source", "__bucket"])
-              .withColumn("mix_block", F.floor((F.col("__before") + F.col("__inside") - 1) / block_rows).cast("long") + 1))
+              .withColumn(mix[0], F.floor((F.col("__before") + F.col("__inside") - 1) / block_rows).cast("long") + 1))
     # At most max_slots rows of 60 bytes: bounded whatever the corpus.
-    return ranked.join(F.broadcast(plan), ["__source", "mix_block"], "left").select(*kept, *_MIX)
+    return ranked.join(F.broadcast(plan), ["__source", mix[0]], "left").select(*kept, *mix)
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are in the mix, all columns as they were."""
-    mixed = mix_sources(docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source"), **options)
-    return mixed.where("mix_slot IS NOT NULL").select("doc.*")
+    return mix_sources(docs, prefix="__mix_", **options).where("__mix_slot IS NOT NULL").select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(documents(spark, folder)).select("doc_id", "source", *_MIX)
+    return mix_sources(documents(spark, folder)).select("doc_id", "source", *("mix_" + x for x in _MIX))
 
 
 QUERIES = {"op8_mixing": op8_mixing}

@@ -3,13 +3,15 @@ r"""N-gram Jaccard self-join by T-occurrence search (DivideSkip), returning clas
 A document's set holds its distinct word n-grams; two documents link when 100 * common >= percent * union,
 so a document of s n-grams needs a partner that shares at least T = ceil(percent * s / 100) of them.
 
-1. Documents with equal sets are one node (its smallest doc_id).
-2. Any partner shares one of a node's first s - T + 1 n-grams under any order that all nodes agree on.
-   The order is by hash, with n-grams found in more than 1/1000 of all documents (at least 32) last, the
-   most frequent at the very end; so passages that many documents share rarely decide anything. These
-   n-grams are at most 1000 times the mean set size in number; that bounds what the tasks are sent.
-3. Nodes that share such an n-gram get linked to the n-gram's smallest node. The components of these star
-   links are *cells*: linked documents are always in one cell, and no pairs have been listed so far.
+1. Documents with equal sets are one node.
+2. Under any order that all nodes agree on, two linked nodes share at least l n-grams among their first
+   s - T + l. The order is by hash, with n-grams found in more than 1/1000 of all documents (at least 32)
+   last, the most frequent at the very end; so passages that many documents share rarely decide anything.
+   Such n-grams are at most 1000 times the mean set size in number; that bounds what the tasks are sent.
+   l is 1 + ``EXTRA`` percent of s. N-grams that no other node has are dropped; nodes that keep too few
+   have no partner and go.
+3. The remaining nodes are linked to the smallest node of each n-gram. The components of these star links
+   are *cells*: linked documents are always in one cell, and no pairs have been listed so far.
 4. Within a cell the T-occurrence search runs over inverted lists: the short lists of a query's n-grams
    are heap-merged, documents found in at least T - L of them are probed in the L long lists by binary
    search. Pairs that are already connected are passed over, as only classes are wanted.
@@ -47,6 +49,7 @@ from ledgermatch.llm.components import connected_components
 
 BLOCK = 1_500_000          # n-grams per block of a cell
 HOT_SHARE, HOT_LEAST = 1000, 32
+EXTRA = 6
 _BATCH_KEYS = 4_000_000    # n-grams counted together in a task
 _HUB_FROM, _HUB_MEMBERS = 16, 8
 _LEADERS = 8
@@ -123,27 +126,67 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, digest, first: the n-grams that any partner must share one of."""
+    """doc_id, size, digest, node (the digest's first half), and the first n-grams: rare ones, frequent ones."""
     hot = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))
+    none = np.empty(0, np.int64)
 
     def build(batches):
         hashes = _WordHashes()
         keys_hot, classes = hot.value
         for batch in batches:
-            sizes, digests, firsts = [], [], []
+            sizes, digests, nodes, rare, frequent = [], [], [], [], []
             for text in batch["text"]:
                 keys = ngram_keys(text, n, hashes)
+                digest = xxhash.xxh3_128_digest(keys.tobytes())
                 sizes.append(len(keys))
-                digests.append(xxhash.xxh3_128_digest(keys.tobytes()))
-                take = len(keys) - _required(len(keys), percent) + 1 if len(keys) else 0
+                digests.append(digest)
+                nodes.append(int.from_bytes(digest[:8], "little", signed=True))
+                take = len(keys) - _required(len(keys), percent) + 1 + EXTRA * len(keys) // 100 if len(keys) else 0
+                late = none
                 if len(keys_hot) and take:
                     at = np.minimum(np.searchsorted(keys_hot, keys), len(keys_hot) - 1)
-                    late = np.where(keys_hot[at] == keys, classes[at], np.int8(0))
-                    keys = keys[np.argsort(late, kind="stable")]
-                firsts.append(keys[:take].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "size": sizes, "digest": digests, "first": firsts})
-
-    return docs.select("doc_id", "text").mapInPandas(build, "doc_id long, size long, digest binary, first array<long>")
+                    is_hot = keys_hot[at] == keys
+                    if is_hot.any():
+                        late = keys[is_hot][np.argsort(classes[at[is_hot]], kind="stable")]
+                        keys = keys[~is_hot]
+                rare.append(keys[:take].view(np.int64))
+                frequent.append(late[:max(0, take - len(keys))].view(np.int64))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "size": sizes, "digest": digests, "node": nodes, "rare": rare, "frequent": frequent})
+
+    return docs.select("doc_id", "text").mapInPandas(
+        build, "doc_id long, size long, digest binary, node long, rare array<long>, frequent array<long>")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(key, node): the first n-grams that more than one node has."""
+    def several(batches):
+        """The rows come sorted; of every key's run the different nodes, if there are two or more."""
+        last_key = last_node = None
+        alone = False  # the last row is its key's only one so far
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, nodes = batch["key"].to_numpy(), batch["node"].to_numpy()
+            if last_key is not None:
+                keys, nodes = np.append(last_key, keys), np.append(last_node, nodes)
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+            if last_key is not None and not alone:
+                fresh[0] = False  # given out before, it only shows that its key's run goes on
+            begins = np.ones(len(keys), bool)
+            begins[1:] = keys[1:] != keys[:-1]
+            run = np.cumsum(begins) - 1
+            different = np.bincount(run, fresh)
+            if last_key is not None and not alone:
+                different[0] += 2
+            out = fresh & (different[run] >= 2)
+            alone = different[-1] < 2
+            last_key, last_node = keys[-1], nodes[-1]
+            yield pd.DataFrame({"key": keys[out], "node": nodes[out]})
+
+    rare = sets.select(F.explode("rare").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    return (rare.mapInPandas(several, "key long, node long")
+            .union(sets.select(F.explode("frequent").alias("key"), "node").distinct()))
 
 
 # --- the search -----------------------------------------------------------------------------------
@@ -269,31 +312,35 @@ def _classes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """All links needed within the cells (node, cell)."""
+    """All links needed within the cells (node: a doc_id, size, cell)."""
+    blocks = cells.groupBy("cell").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    placed = materialise(cells.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+
     def build(batches):
         hashes = _WordHashes()
         for batch in batches:
             keys = [ngram_keys(text, n, hashes) for text in batch.pop("text")]
-            yield batch.assign(size=[len(k) for k in keys], keys=[k.tobytes() for k in keys])
-
-    full = materialise(docs.select(F.col("doc_id").alias("node"), "text").join(cells, "node")
-                       .select("node", "cell", "text")
-                       .mapInPandas(build, "node long, cell long, size long, keys binary"))
-    blocks = full.groupBy("cell").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = materialise(full.join(blocks, "cell").withColumns({
-        "block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "label": F.col("node"), "query": F.lit(True)}))
-    links = materialise(_search(dealt, ["cell", "block"], percent))
-    big = dealt.where("blocks > 1")
-    if big.isEmpty():
+            yield batch.assign(keys=[k.tobytes() for k in keys])
+
+    def dealt(places):
+        return (docs.select(F.col("doc_id").alias("node"), "text").join(places, "node")
+                .select("node", "cell", "block", "blocks", "text")
+                .mapInPandas(build, "node long, cell long, block int, blocks int, keys binary")
+                .withColumns({"label": F.col("node"), "query": F.lit(True)}))
+
+    several = materialise(dealt(placed.where("blocks > 1")))
+    links = materialise(_search(dealt(placed.where("blocks = 1")), ["cell", "block"], percent)
+                        .union(_search(several, ["cell", "block"], percent)))
+    if several.isEmpty():
         return links
 
     # Hubs: a few members of every sizeable class, to join the classes of one family across blocks.
-    nodes = _classes_of(big.select("node", "cell", "block", "blocks"), links)
+    nodes = _classes_of(several.select("node", "cell", "block", "blocks"), links)
     sizeable = nodes.groupBy("cell", "label").agg(F.count("*").alias("n")).where(F.col("n") >= _HUB_FROM)
     hub = (nodes.join(sizeable, ["cell", "label"])
            .where(F.pmod(F.xxhash64(F.lit(1), "node"), F.col("n")) < _HUB_MEMBERS)
            .select("node", "cell", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("blocks") / _HUB_MEMBERS)).alias("hub")))
-    held = big.select("node", "cell", "block", "blocks", "query", "keys")
+    held = several.select("node", "cell", "block", "blocks", "query", "keys")
     links = materialise(links.union(_search(held.drop("cell").join(hub, "node"), ["cell", "hub"], percent)))
 
     # What is outside its cell's largest class, against all blocks of the cell.
@@ -317,16 +364,22 @@ def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) ->
 def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     sets = materialise(_sets(docs, n, percent))
-    nodes = sets.where("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = materialise(nodes)
-    mine = sets.join(nodes, (F.col("doc_id") == F.col("node")) & (sets["digest"] == nodes["digest"]))
-    postings = materialise(mine.select("node", "first")).select("node", F.explode("first").alias("key"))
-    leaders = postings.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    stars = postings.join(leaders, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    # Copies of a set are one document from here on: the one with the smallest id.
+    copies = materialise(sets.where("size > 0 AND doc_id IS NOT NULL").groupBy("digest", "node", "size").agg(F.min("doc_id").alias("first")))
+    shared = materialise(_shared(sets.where("doc_id IS NOT NULL")))
+    enough = F.col("n") >= 1 + F.floor(EXTRA * F.floor((percent * F.col("size") + 99) / 100) / 100)
+    partnered = materialise(copies.join(shared.groupBy("node").agg(F.count("*").alias("n")), "node").where(enough)
+                            .select("node", "first", "size"))
+    postings = materialise(shared.join(partnered.select("node", "first"), "node").select("key", "first"))
+    leaders = postings.groupBy("key").agg(F.min("first").alias("lead"))
+    stars = (postings.join(leaders, "key").where("first <> lead")
+             .select(F.col("first").alias("a"), F.col("lead").alias("b")).distinct())
     cells = connected_components(stars).withColumnRenamed("component", "cell")
+    cells = cells.join(partnered.select(F.col("first").alias("node"), "size"), "node")
     links = materialise(_links_of_cells(cells, docs, n, percent))
     classes = connected_components(links)
-    named = nodes.join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    named = copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(
+        "digest", F.coalesce("component", "first").alias("component_id"))
     return sets.join(named, "digest", "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
