@@ -95,6 +95,7 @@ class PieceModel:
         if self.kind not in (_UNIGRAM, _BPE):
             raise ValueError("only unigram and BPE models")
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (_NORMAL, _USER)}
+        self._value = {p: self.scores[i] for p, i in self.ids.items()}
         self.bytes_ids = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == _BYTE}
         self.unknown = self.types.index(_UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
@@ -123,17 +124,21 @@ class PieceModel:
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
     def _merge(self, text: str) -> list[str]:
-        """The merge procedure itself, on a short string."""
-        parts = list(text)
-        while True:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                found = self.ids.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or self.scores[found] > best):
-                    best, where = self.scores[found], i
-            if where < 0:
-                return parts
-            parts[where:where + 2] = [parts[where] + parts[where + 1]]
+        """The merge procedure itself, on a short string: the best-scored neighbours first, of equals the leftmost."""
+        parts, value, never = list(text), self._value.get, float("-inf")
+        worth = [value(a + b, never) for a, b in zip(parts, parts[1:])]
+        while worth:
+            best = max(worth)
+            if best == never:
+                break
+            i = worth.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del worth[i]
+            if i:
+                worth[i - 1] = value(parts[i - 1] + parts[i], never)
+            if i < len(worth):
+                worth[i] = value(parts[i] + parts[i + 1], never)
+        return parts
 
     def search(self, text: Iterable[str]) -> Iterator[int]:
         """Ids of a normalised text given as characters, emitted as soon as they are final."""
@@ -202,14 +207,13 @@ class PieceModel:
         return alive.pop()
 
     def encode(self, text: str) -> list[int]:
-        normal = self.normalise(text)
-        if not self.words_apart or not normal:
-            return list(self.search(normal))
-        words = normal.split(SPACE)
-        if "" in words[1:]:  # runs of spaces are pieces of their own
-            return list(itertools.chain.from_iterable(map(self._words.__getitem__, _words(normal))))
-        first = [] if not words[0] else self._words[words[0]]
-        return [*first, *itertools.chain.from_iterable(map(self._words.__getitem__, [SPACE + w for w in words[1:]]))]
+        if not self.words_apart or not self.dummy_prefix or not text:
+            return list(self.search(self.normalise(text)))
+        words = text.split(" ")
+        if "" in words or SPACE in text:  # runs of spaces are pieces of their own
+            return list(itertools.chain.from_iterable(
+                self._words[w[1:]] if w[0] == SPACE and SPACE not in w[1:] else self.search(w) for w in _words(self.normalise(text))))
+        return list(itertools.chain.from_iterable(map(self._words.__getitem__, words)))
 
     # --- decoding
 
@@ -229,7 +233,7 @@ def _words(normal: str) -> Iterator[str]:
 
 
 class _WordCache(dict):
-    """Ids by word; paths meet at its two ends, so the search needs to see each word once.
+    """Ids by word, its space mark left out; paths meet at its two ends, so the search needs to see each word once.
 
     Two generations: when the young one is full it becomes the old one, and words still in use move back.
     """
@@ -241,7 +245,7 @@ class _WordCache(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = self.old.get(word)
         if found is None:
-            found = tuple(self.model.search(word))
+            found = tuple(self.model.search(SPACE + word))
         if len(word) <= _CACHED_LENGTH:
             if len(self) >= _CACHED_WORDS:
                 self.old = dict(self)
