@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.text import strip
+
 # Accepted layouts in order of preference, as (shape, pattern).
 STRUCTURED = (
     (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
@@ -44,7 +46,7 @@ def _first(text: Column, layouts) -> Column:
 
 def date_structured(text: Column) -> Column:
     """Quotes are trimmed and a timestamp of 14 or more digits is cut to its day."""
-    t = F.regexp_replace(F.trim(text), r"^\"+|\"+$", "")
+    t = F.regexp_replace(strip(text), r"^\"+|\"+$", "")
     t = F.regexp_replace(t, r"^'+|'+$", "")
     t = F.when(t.rlike(r"^\d{14,}$"), F.substring(t, 1, 8)).otherwise(t)
     return _first(t, STRUCTURED)

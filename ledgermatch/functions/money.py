@@ -1,16 +1,21 @@
-"""Amount texts to integer cents, as column expressions."""
+"""Amount texts to integer cents, as column expressions.
+
+No text aborts a job: digits that do not fit into a long are unreadable like any other text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.text import strip
+
 _NUMBER = r"^[+-]?(?=.*[0-9])[0-9]*\.?[0-9]*$"
 
 
 def _cents(digits: Column) -> Column:
     """A plain decimal number to cents, half away from zero."""
-    return F.round(digits.cast("double") * 100).cast("long")
+    return F.round(digits.try_cast("double") * 100).try_cast("long")
 
 
 def amount_structured(text: Column) -> Column:
@@ -24,15 +29,15 @@ def _verbatim_magnitude(text: Column) -> Column:
     kept = F.regexp_replace(text, r"[^0-9.]", "")
     readable = kept.rlike(r"^(?=.*[0-9])[0-9]*\.?[0-9]*$")
     pointed = kept.contains(".")
-    fraction = F.bround(F.when(readable & pointed, kept).cast("double") * 100).cast("long")
-    whole = F.when(readable & ~pointed, kept).cast("long")
+    fraction = F.bround(F.when(readable & pointed, kept).try_cast("double") * 100).try_cast("long")
+    whole = F.when(readable & ~pointed, kept).try_cast("long")
     return F.coalesce(fraction, whole, F.lit(0).cast("long"))
 
 
 def amount_verbatim(text: Column) -> Column:
     """Amount strings as printed on a page (N2): a leading minus or enclosing parentheses negate; only
     text with a decimal point is scaled ("1250" is already cents); unreadable text is 0."""
-    t = F.trim(text)
+    t = strip(text)
     negative = t.startswith("-") | (t.startswith("(") & t.endswith(")"))
     magnitude = _verbatim_magnitude(t)
     return F.when(negative, -magnitude).otherwise(magnitude)
@@ -40,7 +45,7 @@ def amount_verbatim(text: Column) -> Column:
 
 def amount_citation(text: Column) -> Column:
     """As printed, without its sign (N3); a missing or blank text is 0."""
-    return F.coalesce(_verbatim_magnitude(F.trim(text)), F.lit(0).cast("long"))
+    return F.coalesce(_verbatim_magnitude(strip(text)), F.lit(0).cast("long"))
 
 
 def line_amount(text: Column) -> Column:
@@ -55,8 +60,9 @@ def line_amount(text: Column) -> Column:
         F.regexp_replace(F.regexp_replace(r, r"^[$\-]+", ""), r"[,$]", "").alias("core")))
     money = F.filter(cores, lambda x: x["core"].rlike(r"^[0-9]+\.[0-9]{2}$"))
     # two decimals exactly: without the point the digits are the cents
-    values = F.transform(money, lambda x: F.regexp_replace(x["core"], r"\.", "").cast("long")
+    values = F.transform(money, lambda x: F.regexp_replace(x["core"], r"\.", "").try_cast("long")
                          * F.when(x["negative"], -1).otherwise(1))
+    values = F.filter(values, lambda v: v.isNotNull())
     largest = F.aggregate(values, F.lit(None).cast("long"), lambda best, v: F.when(
         best.isNull() | (F.abs(v) >= F.abs(best)), v).otherwise(best))
     return F.when(text.rlike(r"\d"), largest)  # most lines hold no digits at all
@@ -65,7 +71,7 @@ def line_amount(text: Column) -> Column:
 def resolve_debit_credit(mapped: Column, sides: list[Column]) -> Column:
     """The mapped amount text unless blank, else the first side that is not blank, else '' (N8)."""
     def filled(x: Column) -> Column:
-        return F.when(F.trim(x) != "", x)
+        return F.when(strip(x) != "", x)
 
     return F.coalesce(filled(mapped), *(filled(s) for s in sides), F.lit(""))
 

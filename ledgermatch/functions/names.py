@@ -27,24 +27,38 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
-    """Similarity of ``left[i]`` and ``right[i]``, all pairs advanced together character by character."""
+    """Similarity of ``left[i]`` and ``right[i]``. Pairs of like length are compared together, so that one
+    very long name costs its own pair only."""
+    longest = np.fromiter((max(len(a), len(b), 1) for a, b in zip(left, right)), dtype=np.int64, count=len(left))
+    size, out = np.ceil(np.log2(longest)).astype(int), np.zeros(len(left))
+    for s in np.unique(size):
+        own = np.flatnonzero(size == s)
+        out[own] = _jaro_winkler([left[i] for i in own], [right[i] for i in own])
+    return out
+
+
+def _matches(a, b, la, lb, reach):
+    """Which characters of either side have a partner: in order of the left side, the first free equal
+    one in reach."""
+    n, width = a.shape
+    used_a, used_b = np.zeros(a.shape, dtype=bool), np.zeros(b.shape, dtype=bool)
+    places = np.arange(b.shape[1])[None, :]
+    for i in range(width):
+        near = (places >= (i - reach)[:, None]) & (places <= np.minimum(i + reach, lb - 1)[:, None])
+        free = near & ~used_b & (a[:, i, None] == b) & (i < la)[:, None]
+        hit = free.any(axis=1)
+        used_a[:, i] = hit
+        used_b[hit, free[hit].argmax(axis=1)] = True
+    return used_a, used_b
+
+
+def _jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
     n = len(left)
-    if n == 0:
-        return np.zeros(0)
     a, la = _codes(left)
     b, lb = _codes(right)
     rows = np.arange(n)
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
-    used_a = np.zeros(a.shape, dtype=bool)
-    used_b = np.zeros(b.shape, dtype=bool)
-    for i in range(a.shape[1]):
-        todo = i < la
-        first, last = np.maximum(i - reach, 0), np.minimum(i + reach + 1, lb)
-        for j in range(int(first[todo].min(initial=0)), int(last[todo].max(initial=0))):
-            hit = todo & (j >= first) & (j < last) & ~used_b[:, j] & (a[:, i] == b[:, j])
-            used_a[hit, i] = True
-            used_b[hit, j] = True
-            todo = todo & ~hit
+    used_a, used_b = _matches(a, b, la, lb, reach)
     m = used_a.sum(axis=1)
     # k-th matched character of either side, compared position by position
     seq_a = np.take_along_axis(a, np.argsort(~used_a, axis=1, kind="stable"), axis=1)

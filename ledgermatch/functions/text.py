@@ -16,6 +16,11 @@ SUBTYPE_WORDS = (
 )
 
 
+def strip(value: Column) -> Column:
+    """Without white space at either end; a plain trim takes off spaces only."""
+    return F.btrim(value, F.lit(" \t\r\n\f\u000b"))
+
+
 def entity_type(doc_type: Column) -> Column:
     """Anything unknown counts as an invoice."""
     out = F
@@ -39,7 +44,7 @@ def ofx_description(name: Column, memo: Column, fitid: Column) -> Column:
 
 def transaction_ref(mapped: Column, *fallbacks: Column) -> Column:
     """The first present reference; a blank one counts as none."""
-    return F.nullif(F.trim(F.coalesce(mapped, *fallbacks)), F.lit(""))
+    return F.nullif(strip(F.coalesce(mapped, *fallbacks)), F.lit(""))
 
 
 def salvage_json_array(text: Column) -> Column:

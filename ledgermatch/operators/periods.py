@@ -69,12 +69,16 @@ def vendor_baselines(entities: DataFrame, periods: DataFrame, through: DataFrame
         "client_book_id", "transaction_date", "counterparty", "amount_cents")
     # exact sums: a deviation that ends in half a cent must round up, not where a double drifts to
     x = c("amount_cents").cast("decimal(19,0)")
-    spread = F.sqrt((c("n") * c("squares") - c("total") * c("total")).cast("double")) / c("n")
+    # around the mean, so that the squares of a very large vendor still fit
+    off = c("total") - c("n") * c("trailing_avg_cents")
+    centred = (c("squares") - 2 * c("trailing_avg_cents") * c("total") + c("n") * c("trailing_avg_cents") * c("trailing_avg_cents")).cast("decimal(30,0)")
+    spread = F.sqrt((c("n") * centred - off * off).cast("double")) / c("n")
     return (entity_periods(rows, last).groupBy("client_book_id", "counterparty")
-            .agg(F.count("*").cast("decimal(10,0)").alias("n"), F.sum(x).cast("decimal(19,0)").alias("total"),
-                 F.sum((x * x).cast("decimal(27,0)")).cast("decimal(27,0)").alias("squares"))
-            .select("client_book_id", "counterparty",
-                    F.round(c("total") / c("n")).cast("long").alias("trailing_avg_cents"),
+            .agg(F.count("*").cast("decimal(8,0)").alias("n"), F.sum(x).cast("decimal(19,0)").alias("total"),
+                 F.sum((x * x).cast("decimal(28,0)")).cast("decimal(37,0)").alias("squares"))
+            .withColumn("trailing_avg_cents", F.round(c("total") / c("n")).cast("decimal(15,0)"))
+            .select("client_book_id", "counterparty", c("n").cast("long").alias("n"),
+                    c("trailing_avg_cents").cast("long").alias("trailing_avg_cents"),
                     F.round(spread).cast("long").alias("trailing_stddev_cents")))
 
 
@@ -85,27 +89,43 @@ def pending_request_blockers(requests: DataFrame, periods: DataFrame) -> DataFra
     return periods.select("client_book_id", c("id").alias("period_id")).join(open_, "period_id")
 
 
+def _accepted(periods: DataFrame, actions: DataFrame, blockers: DataFrame) -> DataFrame:
+    """Actions that are in order by themselves, with the period's first close: a close needs a period
+    without pending requests, a reopen a reason."""
+    blocked = blockers.select("period_id", F.lit(True).alias("_blocked"))
+    close, reason = c("action") == "close", F.length(F.trim(F.coalesce("reason", F.lit("")))) > 0
+    return (actions.join(blocked, "period_id", "left")
+            .filter((close & c("_blocked").isNull()) | ((c("action") == "reopen") & reason)).drop("_blocked"))
+
+
 def period_state(periods: DataFrame, actions: DataFrame, balances: DataFrame, blockers: DataFrame) -> DataFrame:
     """Status after a batch of close and reopen actions (M6).
 
-    A close needs an open (or reopened) period without pending requests; a reopen needs a reason and
-    a closing or closed period, and clears the balances. Refused actions change nothing, so the state
-    follows from the last acceptable action and from whether it found something to change.
+    A close takes an open period to pending_close and a pending one there again with new balances; closed
+    and reopened periods refuse it. A reopen takes pending and closed periods to reopened, without
+    balances, and that is final here. So the first close and the last reopen decide; of actions at one
+    time a close comes first. Other actions change nothing.
     """
-    blocked = blockers.select("period_id", F.lit(True).alias("_blocked"))
     close, reopen = c("action") == "close", c("action") == "reopen"
-    history = (actions.join(blocked, "period_id", "left")
-               .filter((close & c("_blocked").isNull())
-                       | (reopen & (F.length(F.trim(F.coalesce("reason", F.lit("")))) > 0)))
-               .groupBy("period_id").agg(F.max_by("action", F.struct("at", "action")).alias("last"),
-                                         F.bool_or(close).alias("closes"), F.bool_or(reopen).alias("reopens")))
-    shut = c("status").isin("pending_close", "closed")
-    closing = (c("last") == "close") & (~shut | c("reopens"))
-    reopened = (c("last") == "reopen") & (shut | c("closes"))
+    history = _accepted(periods, actions, blockers).groupBy("period_id").agg(
+        F.min(F.when(close, c("at"))).alias("first_close"), F.max(F.when(reopen, c("at"))).alias("last_reopen"))
+    before, closes, reopens = c("status"), c("first_close").isNotNull(), c("last_reopen").isNotNull()
+    reopened = (before.isin("pending_close", "closed") & reopens) | ((before == "open") & closes & (c("last_reopen") >= c("first_close")))
     state = (periods.withColumnRenamed("id", "period_id").join(history, "period_id", "left")
              .join(balances.select("period_id", "debits_cents", "credits_cents", "is_balanced"), "period_id", "left")
-             .withColumn("_closing", F.coalesce(closing, F.lit(False)))
-             .withColumn("status", F.when(c("_closing"), "pending_close").when(reopened, "reopened").otherwise(c("status"))))
+             .withColumn("_reopened", F.coalesce(reopened, F.lit(False)))
+             .withColumn("_closing", ~c("_reopened") & closes & before.isin("open", "pending_close"))
+             .withColumn("status", F.when(c("_reopened"), "reopened").when(c("_closing"), "pending_close").otherwise(before)))
     for name in ("debits_cents", "credits_cents", "is_balanced"):
         state = state.withColumn(name, F.when(c("_closing"), c(name)))
-    return state.drop("last", "closes", "reopens", "_closing")
+    return state.drop("first_close", "last_reopen", "_reopened", "_closing")
+
+
+def reopen_log(periods: DataFrame, actions: DataFrame, blockers: DataFrame) -> DataFrame:
+    """period_id, at, reason of every reopen that changed a period; at most one per period and batch."""
+    accepted = _accepted(periods, actions, blockers)
+    first = accepted.filter("action = 'close'").groupBy("period_id").agg(F.min("at").alias("first_close"))
+    start = periods.select(c("id").alias("period_id"), "status")
+    return (accepted.filter("action = 'reopen'").join(start, "period_id").join(first, "period_id", "left")
+            .filter("status in ('pending_close', 'closed') or (status = 'open' and at >= first_close)")
+            .groupBy("period_id").agg(F.min_by(F.struct("at", "reason"), "at").alias("r")).select("period_id", "r.*"))

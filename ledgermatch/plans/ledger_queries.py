@@ -10,6 +10,7 @@ from ledgermatch.operators import reports as R
 from ledgermatch.operators import verify as V
 from ledgermatch.operators.candidates import unmatched_entities
 from ledgermatch.operators.candidates import member_rows
+from ledgermatch.plans.close import close_periods
 from ledgermatch.plans.link import link_book
 from ledgermatch.plans.registry import SHARED_SQL, query
 from ledgermatch.session import scratch_path
@@ -203,7 +204,10 @@ def _(m):
     groups = (m.members.groupBy(c("reconciliation_group_id").alias("id")).agg(*ids)
               .join(m.groups.select("id", "client_book_id", "link_confidence", "status"), "id"))
     heads, rows = scratch_path(m.spark), scratch_path(m.spark)
-    persist_groups(groups, heads, rows)
+    half = groups.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+    persist_groups(half, heads, rows)
+    persist_groups(groups, heads, rows)  # adds the rest
+    persist_groups(groups, heads, rows)  # a replay adds nothing
     return m.spark.read.schema("reconciliation_group_id string, extracted_entity_id string, role string").parquet(rows)
 
 
@@ -225,15 +229,15 @@ def _(m):
         "client_book_id", "reconciliation_group_id", "severity", "status")
 
 
-@query("pending_entities", """SELECT id, client_book_id, entity_type, amount_cents FROM {entities} e
-    WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.extracted_entity_id = e.id)""")
+@query("pending_entities", """SELECT e.id, e.client_book_id, e.entity_type, e.amount_cents FROM {entities} e
+    LEFT JOIN (SELECT DISTINCT extracted_entity_id FROM {members}) m ON m.extracted_entity_id = e.id WHERE m.extracted_entity_id IS NULL""")
 def _(m):
     return L.pending_entities(m.entities, m.members).select("id", "client_book_id", "entity_type", "amount_cents")
 
 
-@query("unmatched_entities", """SELECT id, client_book_id FROM {entities} e WHERE NOT EXISTS (
-    SELECT 1 FROM {members} m JOIN {groups} g ON g.id = m.reconciliation_group_id
-    WHERE m.extracted_entity_id = e.id AND g.status IN ('auto_linked', 'needs_review'))""")
+@query("unmatched_entities", """SELECT e.id, e.client_book_id FROM {entities} e LEFT JOIN (
+        SELECT DISTINCT m.extracted_entity_id FROM {members} m JOIN {groups} g ON g.id = m.reconciliation_group_id
+        WHERE g.status IN ('auto_linked', 'needs_review')) x ON x.extracted_entity_id = e.id WHERE x.extracted_entity_id IS NULL""")
 def _(m):
     live = m.groups.filter(c("status").isin("auto_linked", "needs_review")).select(
         c("id").alias("reconciliation_group_id"), "client_book_id")
@@ -467,14 +471,21 @@ def _(m):
     return PD.trial_balance(m.entities, m.periods)
 
 
-@query("vendor_baselines", """SELECT e.client_book_id, e.counterparty, CAST(round(avg(amount_cents)) AS BIGINT) AS trailing_avg_cents,
-    CAST(round(stddev_pop(amount_cents)) AS BIGINT) AS trailing_stddev_cents
-    FROM {entities} e JOIN {baseline_periods} p ON p.client_book_id = e.client_book_id
-     AND e.transaction_date BETWEEN p.period_start AND p.period_end
-    WHERE counterparty IS NOT NULL AND entity_subtype IS DISTINCT FROM 'void' GROUP BY e.client_book_id, e.counterparty""")
+# Whole numbers all the way: means and deviations that end on half a cent must not depend on the order of addition.
+SHARED_SQL["baselines"] = """SELECT client_book_id, counterparty,
+        CAST(sign(s) * ((2 * abs(s) + n) // (2 * n)) AS BIGINT) AS trailing_avg_cents,
+        CAST(round(sqrt(CAST(n * q - s * s AS DOUBLE)) / n) AS BIGINT) AS trailing_stddev_cents
+    FROM (SELECT e.client_book_id, e.counterparty, count(*) AS n, sum(CAST(e.amount_cents AS HUGEINT)) AS s,
+                 sum(CAST(e.amount_cents AS HUGEINT) * e.amount_cents) AS q
+          FROM {baseline_periods} p JOIN {entities} e ON e.client_book_id = p.client_book_id
+          WHERE e.transaction_date >= p.period_start AND e.transaction_date <= p.period_end
+            AND e.counterparty IS NOT NULL AND coalesce(e.entity_subtype, '') <> 'void' GROUP BY ALL) t"""
+
+
+@query("vendor_baselines", "SELECT * FROM {baselines}")
 def _(m):
     through = m.books.select(c("id").alias("client_book_id"), F.lit(END).cast("date").alias("period_end"))
-    return PD.vendor_baselines(m.entities, m.periods, through)
+    return PD.vendor_baselines(m.entities, m.periods, through).drop("n")
 
 
 SHARED_SQL["blockers"] = """SELECT p.client_book_id, p.id AS period_id, count(*) AS pending FROM {periods} p
@@ -492,24 +503,70 @@ SHARED_SQL["period_actions"] = """SELECT reconciliation_period_id AS period_id,
         CAST(substr(id, 2) AS BIGINT) AS n FROM {requests}"""
 
 
-@query("period_state", """SELECT p.id AS period_id, p.client_book_id, p.period_start, p.period_end,
-    CASE WHEN eff = 'close' THEN 'pending_close' WHEN eff = 'reopen' THEN 'reopened' ELSE p.status END AS status,
-    CASE WHEN eff = 'close' THEN b.debits_cents END AS debits_cents, CASE WHEN eff = 'close' THEN b.credits_cents END AS credits_cents,
-    CASE WHEN eff = 'close' THEN b.is_balanced END AS is_balanced
-    FROM (SELECT p.*, CASE WHEN h.newest = 'close' AND (p.status = 'open' OR h.reopens) THEN 'close'
-            WHEN h.newest = 'reopen' AND (p.status <> 'open' OR h.closes) THEN 'reopen' END AS eff
-          FROM {periods} p LEFT JOIN (
-            SELECT period_id, arg_max(action, n) AS newest, bool_or(action = 'close') AS closes, bool_or(action = 'reopen') AS reopens
-            FROM {period_actions} WHERE (action = 'close' AND period_id NOT IN (SELECT period_id FROM {blockers}))
-               OR (action = 'reopen' AND trim(reason) <> '') GROUP BY period_id) h ON h.period_id = p.id) p
-    LEFT JOIN {balances} b ON b.period_id = p.id""")
-def _(m):
+# Every period's actions as one word in order of time; the four start states rotate over the months.
+SHARED_SQL["started"] = """SELECT id, client_book_id, period_start, period_end,
+        CASE month(period_start) % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'pending_close' WHEN 2 THEN 'closed' ELSE 'reopened' END AS status
+    FROM {periods}"""
+SHARED_SQL["action_words"] = """SELECT period_id, string_agg(CASE action WHEN 'close' THEN 'C' ELSE 'R' END, '' ORDER BY n, action) AS word
+    FROM {period_actions} a LEFT JOIN (SELECT period_id AS held FROM {blockers}) b ON b.held = a.period_id
+    WHERE CASE action WHEN 'close' THEN b.held IS NULL ELSE trim(reason) <> '' END GROUP BY period_id"""
+SHARED_SQL["states"] = """SELECT p.*, coalesce(CASE p.status
+            WHEN 'open' THEN CASE WHEN regexp_matches(word, 'C.*R') THEN 'reopened' WHEN contains(word, 'C') THEN 'pending_close' END
+            WHEN 'pending_close' THEN CASE WHEN contains(word, 'R') THEN 'reopened' END
+            WHEN 'closed' THEN CASE WHEN contains(word, 'R') THEN 'reopened' END END, p.status) AS final,
+        p.status IN ('open', 'pending_close') AND coalesce(contains(word, 'C'), false) AS touched
+    FROM {started} p LEFT JOIN {action_words} w ON w.period_id = p.id"""
+
+
+@query("period_state", """SELECT s.id AS period_id, s.client_book_id, s.period_start, s.period_end, final AS status,
+    CASE WHEN touched AND final = 'pending_close' THEN b.debits_cents END AS debits_cents,
+    CASE WHEN touched AND final = 'pending_close' THEN b.credits_cents END AS credits_cents,
+    CASE WHEN touched AND final = 'pending_close' THEN b.is_balanced END AS is_balanced
+    FROM {states} s LEFT JOIN {balances} b ON b.period_id = s.id""")
+def _(m):
+    return PD.period_state(_started(m), _period_actions(m), PD.trial_balance(m.entities, m.periods),
+                           PD.pending_request_blockers(m.requests, m.periods))
+
+
+def _started(m):
+    states = F.array(*(F.lit(x) for x in ("open", "pending_close", "closed", "reopened")))
+    return m.periods.withColumn("status", F.element_at(states, F.month("period_start") % 4 + 1))
+
+
+def _period_actions(m):
     n = F.substring("id", 2, 20).cast("long")
-    actions = m.requests.select(
+    return m.requests.select(
         c("reconciliation_period_id").alias("period_id"), F.when(n % 2 == 0, "close").otherwise("reopen").alias("action"),
         F.when(n % 7 == 0, " ").otherwise("late entry").alias("reason"), n.alias("at"))
-    return PD.period_state(m.periods, actions, PD.trial_balance(m.entities, m.periods),
-                           PD.pending_request_blockers(m.requests, m.periods))
+
+
+@query("close_period", """SELECT e.client_book_id, e.counterparty, count(*) AS n, max_by(t.through, t.period_end) AS computed_through_period_id
+    FROM (SELECT client_book_id, arg_max(id, period_end) AS through, max(period_end) AS period_end FROM {states}
+          WHERE touched AND final = 'pending_close' GROUP BY client_book_id) t
+    JOIN (SELECT t2.client_book_id, p.period_start, p.period_end FROM {periods} p JOIN (
+            SELECT client_book_id, max(period_end) AS closing FROM {states} WHERE touched AND final = 'pending_close' GROUP BY client_book_id) t2
+          ON t2.client_book_id = p.client_book_id AND p.period_end <= t2.closing
+          QUALIFY row_number() OVER (PARTITION BY t2.client_book_id ORDER BY p.period_end DESC, p.id) <= 6) p ON p.client_book_id = t.client_book_id
+    JOIN {entities} e ON e.client_book_id = t.client_book_id AND e.transaction_date BETWEEN p.period_start AND p.period_end
+    WHERE e.counterparty IS NOT NULL AND e.entity_subtype IS DISTINCT FROM 'void' GROUP BY e.client_book_id, e.counterparty
+    UNION ALL SELECT b.id, 'stored only', 0, 'earlier' FROM {books} b""")
+def _(m):
+    stored = m.books.select(c("id").alias("client_book_id"), F.lit("stored only").alias("counterparty"), F.lit(0).cast("long").alias("n"),
+                            F.lit(0).cast("long").alias("trailing_avg_cents"), F.lit(0).cast("long").alias("trailing_stddev_cents"),
+                            F.lit("earlier").alias("computed_through_period_id"))
+    closed = close_periods(m.entities, _started(m), _period_actions(m), m.requests, stored)
+    return closed.baselines.select("client_book_id", "counterparty", "n", "computed_through_period_id")
+
+
+@query("period_reopen_log", """SELECT period_id, n AS at, reason FROM (
+        SELECT a.period_id, a.n, a.reason, s.status,
+               (SELECT min(x.n) FROM {period_actions} x WHERE x.period_id = a.period_id AND x.action = 'close'
+                AND x.period_id NOT IN (SELECT period_id FROM {blockers})) AS first_close
+        FROM {period_actions} a JOIN {started} s ON s.id = a.period_id WHERE a.action = 'reopen' AND trim(a.reason) <> '') t
+    WHERE status IN ('pending_close', 'closed') OR (status = 'open' AND n > first_close)
+    QUALIFY row_number() OVER (PARTITION BY period_id ORDER BY n) = 1""")
+def _(m):
+    return PD.reopen_log(_started(m), _period_actions(m), PD.pending_request_blockers(m.requests, m.periods))
 
 
 # ---- rates and dashboards -----------------------------------------------------------------------

@@ -237,7 +237,8 @@ def _(m):
 
 
 @query("unmatched_after_linking", """SELECT e.id, e.client_book_id, e.entity_type FROM {entities} e
-    WHERE e.id NOT IN (SELECT c.eid FROM {cand_members} c JOIN {linked} l USING (id) WHERE l.status IS NOT NULL)""")
+    LEFT JOIN (SELECT DISTINCT c.eid FROM {cand_members} c JOIN {linked} l USING (id) WHERE l.status IS NOT NULL) x ON x.eid = e.id
+    WHERE x.eid IS NULL""")
 def _(m):
     g = link_book(m.entities, m.books)
     return C.unmatched_entities(m.entities.select("id", "client_book_id", "entity_type"), C.member_rows(g, "id"))

@@ -52,7 +52,7 @@ MODEL: dict[str, str] = {
                CAST(o_orderdate AS DATE) AS d,
                concat_ws(' ', p_name, p_type) AS vendor
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey
-        JOIN {part} ON p_partkey = o_custkey % 200""",
+        JOIN {part} ON p_partkey = o_custkey % (SELECT count(*) FROM {part})""",
     "invoices": """
         SELECT concat('i', CAST(k AS STRING)) AS id, book AS client_book_id, k AS seq,
                'invoice_line_item' AS entity_type,
@@ -186,8 +186,7 @@ MODEL: dict[str, str] = {
                CASE event_id % 5 WHEN 0 THEN 'fulfilled' WHEN 1 THEN 'waived' ELSE 'pending' END AS status,
                CAST(ts AS DATE) AS requested_on,
                CAST(event_id % 5 AS INT) AS reminder_sent_count
-        FROM {events} JOIN {customer} ON c_custkey = user_id
-        WHERE event_id % 3 = 0""",
+        FROM {events} JOIN {customer} ON c_custkey = user_id""",
     # ---- dimensions ------------------------------------------------------------------------------
     "accounts": """
         SELECT b.id AS client_book_id, a.account_code, a.account_name, a.account_type,

@@ -40,7 +40,7 @@ def _doc_id():
 def _csv_documents(m):
     """Ledger export with a debit and a credit record per journal entry; every third without a number."""
     num = F.when(c("k") % 3 == 0, "").otherwise(F.concat(F.lit("J"), c("k").cast("string")))
-    common = [F.date_format("d", "MM/dd/yyyy"), num, F.concat(F.lit('"'), "vendor", F.lit(', ""Main"" Inc"')), F.lit("memo"),
+    common = [F.date_format("d", "MM/dd/yyyy"), num, F.concat(F.lit('"'), "vendor", F.lit(', ""Main"" Inc"')), F.lit('5" memo'),
               F.when(c("k") % 2 == 0, "4000").otherwise("5000")]
     line = F.concat(F.concat_ws(",", *common, _decimal("cents"), F.lit("")), F.lit("\r\n"),
                     F.concat_ws(",", *common, F.lit(""), _decimal("cents")))
@@ -56,7 +56,7 @@ def _csv_sql(folded: bool) -> str:
         THEN concat_ws('|', CAST(d AS VARCHAR), vendor, CAST(cents AS VARCHAR)) ELSE CAST(k AS VARCHAR) END ORDER BY k) = 1"""
     twice = "CROSS JOIN (SELECT unnest([0, 1]) AS side)"
     return f"""SELECT {_DOC} AS document_id, 'gl_entry' AS entity_type, cents AS amount_cents, d AS transaction_date,
-        vendor || ', "Main" Inc' AS counterparty, 'memo' AS description, CASE WHEN k % 2 = 0 THEN '4000' ELSE '5000' END AS gl_account_code,
+        vendor || ', "Main" Inc' AS counterparty, '5" memo' AS description, CASE WHEN k % 2 = 0 THEN '4000' ELSE '5000' END AS gl_account_code,
         CASE WHEN k % 3 <> 0 THEN 'J' || k END AS transaction_ref FROM {{sales}} {once if folded else twice}"""
 
 
@@ -127,7 +127,7 @@ def _(m):
 SHARED_SQL.update({
     "page_lines": r"""SELECT doc_id, i AS line_no, CASE i
           WHEN 0 THEN 'Vendor ' || source || ' Services'
-          WHEN 1 THEN 'Invoice #: ' || doc_id
+          WHEN 1 THEN 'Invoice #: ' || doc_id || CASE WHEN doc_id % 5 = 0 THEN ' ref 1234567890123456789012345.00' ELSE '' END
           WHEN 2 THEN 'Net ' || strftime(DATE '2023-01-01' + CAST(doc_id % 700 AS INT), '%Y-%m-%d')
           WHEN 3 THEN 'Date: ' || strftime(DATE '2024-01-01' + CAST(doc_id % 300 AS INT), '%m/%d/%Y')
           WHEN 4 THEN 'Amount due $' || (n_chars // 100) || '.' || lpad(CAST(n_chars % 100 AS VARCHAR), 2, '0') || ' of -5.00'
@@ -136,7 +136,7 @@ SHARED_SQL.update({
     "line_values": r"""SELECT doc_id, line_no, text,
         list_filter(list_transform(regexp_extract_all(text, '[0-9.,$\-]+'),
             lambda r: CASE WHEN regexp_matches(regexp_replace(regexp_replace(r, '^[$\-]+', ''), '[,$]', '', 'g'), '^[0-9]+\.[0-9]{2}$')
-              THEN CAST(replace(regexp_replace(regexp_replace(r, '^[$\-]+', ''), '[,$]', '', 'g'), '.', '') AS BIGINT)
+              THEN TRY_CAST(replace(regexp_replace(regexp_replace(r, '^[$\-]+', ''), '[,$]', '', 'g'), '.', '') AS BIGINT)
                    * CASE WHEN starts_with(r, '-') THEN -1 ELSE 1 END END), lambda v: v IS NOT NULL) AS amounts,
         coalesce(
           TRY_CAST(nullif(regexp_extract(text, '(?:^|[^0-9/.\-])(\d{4}-\d{2}-\d{2})(?:$|[^0-9/.\-])', 1), '') AS DATE),
@@ -162,7 +162,8 @@ def _texts(m):
         return F.date_format(F.date_add(F.lit(start).cast("date"), (c("doc_id") % n).cast("int")), pattern)
 
     head = F.array(F.concat(F.lit("Vendor "), "source", F.lit(" Services")),
-                   F.concat(F.lit("Invoice #: "), c("doc_id").cast("string")),
+                   F.concat(F.lit("Invoice #: "), c("doc_id").cast("string"),
+                            F.when(c("doc_id") % 5 == 0, " ref 1234567890123456789012345.00").otherwise("")),
                    F.concat(F.lit("Net "), day("2023-01-01", 700, "yyyy-MM-dd")),
                    F.concat(F.lit("Date: "), day("2024-01-01", 300, "MM/dd/yyyy")),
                    F.concat(F.lit("Amount due $"), amount, F.lit(" of -5.00")))
@@ -240,10 +241,10 @@ def _(m):
 
 # ---- amounts, dates, texts ----------------------------------------------------------------------
 # One amount text and one date text per order, in rotating styles.
-SHARED_SQL["styled"] = """SELECT k, cents, d, CASE k % 8
-        WHEN 0 THEN '$' || whole || '.' || frac WHEN 1 THEN '-' || whole || '.' || frac WHEN 2 THEN whole
-        WHEN 3 THEN '(' || whole || '.' || frac || ')' WHEN 4 THEN 'N/A' WHEN 5 THEN '€' || whole || ',' || frac
-        WHEN 6 THEN whole || '-' || frac ELSE '  +' || whole || '.' || frac || ' ' END AS amount_text,
+SHARED_SQL["styled"] = """SELECT k, cents, d, CASE WHEN k % 16 = 1 THEN chr(9) || '-' || whole || '.' || frac WHEN k % 16 = 2 THEN whole || '0000000000000000000000000'
+        WHEN k % 8 = 0 THEN '$' || whole || '.' || frac WHEN k % 8 = 1 THEN '-' || whole || '.' || frac WHEN k % 8 = 2 THEN whole
+        WHEN k % 8 = 3 THEN '(' || whole || '.' || frac || ')' WHEN k % 8 = 4 THEN 'N/A' WHEN k % 8 = 5 THEN '€' || whole || ',' || frac
+        WHEN k % 8 = 6 THEN whole || '-' || frac ELSE '  +' || whole || '.' || frac || ' ' END AS amount_text,
         CASE k % 9 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%m/%d/%Y') WHEN 2 THEN strftime(d, '%d/%m/%Y')
         WHEN 3 THEN strftime(d, '%m/%d/%y') WHEN 4 THEN strftime(d, '%d-%m-%Y') WHEN 5 THEN strftime(d, '%Y%m%d')
         WHEN 6 THEN strftime(d, '%Y%m%d') || '093000' WHEN 7 THEN '"' || strftime(d, '%Y-%m-%d') || '"' ELSE 'soon' END AS date_text
@@ -258,20 +259,21 @@ def _styled(m):
     layouts = [F.date_format("d", p) for p in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM/dd/yy", "dd-MM-yyyy", "yyyyMMdd")]
     layouts += [F.concat(F.date_format("d", "yyyyMMdd"), F.lit("093000")), F.concat(F.lit('"'), F.date_format("d", "yyyy-MM-dd"), F.lit('"')), F.lit("soon")]
     return m.sales.select("k", "cents", "d",
-                          F.element_at(F.array(*styles), (c("k") % 8 + 1).cast("int")).alias("amount_text"),
+                          F.when(c("k") % 16 == 1, F.concat(F.lit("\t-"), dotted)).when(c("k") % 16 == 2, F.concat(whole, F.lit("0" * 25)))
+                          .otherwise(F.element_at(F.array(*styles), (c("k") % 8 + 1).cast("int"))).alias("amount_text"),
                           F.element_at(F.array(*layouts), (c("k") % 9 + 1).cast("int")).alias("date_text"))
 
 
 @query("normalise_amount_structured", """SELECT k, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$')
-    THEN CAST(round(CAST(t AS DOUBLE) * 100) AS BIGINT) END AS cents
+    THEN TRY_CAST(round(CAST(t AS DOUBLE) * 100) AS BIGINT) END AS cents
     FROM (SELECT k, regexp_replace(amount_text, '[^0-9.+\\-]', '', 'g') AS t FROM {styled}) s""")
 def _(m):
     return _styled(m).select("k", money.amount_structured(c("amount_text")).alias("cents"))
 
 
 SHARED_SQL["verbatim"] = """SELECT k, starts_with(t, '-') OR (starts_with(t, '(') AND ends_with(t, ')')) AS negative,
-        CASE WHEN n = '' THEN 0 WHEN contains(n, '.') THEN CAST(round_even(CAST(n AS DOUBLE) * 100, 0) AS BIGINT) ELSE CAST(n AS BIGINT) END AS size
-        FROM (SELECT k, trim(amount_text) AS t, regexp_replace(amount_text, '[^0-9.]', '', 'g') AS n FROM {styled}) s"""
+        coalesce(CASE WHEN contains(n, '.') THEN TRY_CAST(round_even(CAST(n AS DOUBLE) * 100, 0) AS BIGINT) ELSE TRY_CAST(n AS BIGINT) END, 0) AS size
+        FROM (SELECT k, trim(amount_text, chr(9) || ' ') AS t, regexp_replace(amount_text, '[^0-9.]', '', 'g') AS n FROM {styled}) s"""
 
 
 @query("normalise_amount_verbatim", "SELECT k, CASE WHEN negative THEN -size ELSE size END AS cents FROM {verbatim}")
@@ -352,13 +354,13 @@ def _(m):
 def _answers(m):
     item = F.concat(F.lit('{"amount_raw": "$'), _decimal("cents"), F.lit('", "transaction_date": "'), F.date_format("d", "MM/dd/yyyy"),
                     F.lit('", "counterparty": "'), "vendor", F.lit('", "entity_subtype": null}'))
-    array = F.concat(F.lit("["), item, F.lit("]"))
+    array = F.concat(F.lit("[5, "), item, F.lit(', "x", null]'))
     return m.sales.select(c("k").cast("string").alias("document_id"), F.when(c("k") % 4 == 0, F.concat(F.lit("```json\n"), array, F.lit("\n```")))
                           .when(c("k") % 4 == 1, array).when(c("k") % 4 == 2, F.concat(F.lit("Here it is: "), array, F.lit(" done")))
                           .otherwise("no rows found").alias("answer"))
 
 
-@query("salvage_json_arrays", "SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 4 < 3 THEN 1 ELSE 0 END AS items FROM {sales}")
+@query("salvage_json_arrays", "SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN k % 4 < 3 THEN 4 ELSE 0 END AS items FROM {sales}")
 def _(m):
     return _answers(m).select("document_id", F.json_array_length(text.salvage_json_array(c("answer"))).alias("items"))
 
@@ -372,8 +374,8 @@ def _(m):
 
 SHARED_SQL["carrying"] = """SELECT doc_id, line_no FROM (
         SELECT doc_id, line_no, regexp_replace(text, '[^0-9.]', '', 'g') AS n, n_chars FROM {page_lines} JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)) t
-        WHERE CASE WHEN regexp_matches(n, '^([0-9]+\\.[0-9]*|\\.[0-9]+)$') AND length(n) < 18 THEN CAST(round_even(CAST(n AS DOUBLE) * 100, 0) AS BIGINT)
-                   WHEN regexp_matches(n, '^[0-9]+$') AND length(n) < 18 THEN CAST(n AS BIGINT) ELSE 0 END = doc_id"""
+        WHERE coalesce(CASE WHEN regexp_matches(n, '^([0-9]+\\.[0-9]*|\\.[0-9]+)$') THEN TRY_CAST(round_even(CAST(n AS DOUBLE) * 100, 0) AS BIGINT)
+                   WHEN regexp_matches(n, '^[0-9]+$') THEN TRY_CAST(n AS BIGINT) END, 0) = doc_id"""
 
 
 @query("ground_citations", """SELECT CAST(d.doc_id AS VARCHAR) AS document_id, coalesce(
@@ -399,12 +401,15 @@ def _(m):
 SHARED_SQL["boxes"] = "SELECT id, source_document_id, page_number, box_x, box_y, box_w, box_h FROM {entities}"
 
 
-@query("overlapping_regions", """SELECT a.id AS id_a, b.id AS id_b, round(o / (a.box_w * a.box_h + b.box_w * b.box_h - o), 4) AS iou
-    FROM (SELECT a.id AS ia, b.id AS ib, (least(a.box_x + a.box_w, b.box_x + b.box_w) - greatest(a.box_x, b.box_x))
-            * (least(a.box_y + a.box_h, b.box_y + b.box_h) - greatest(a.box_y, b.box_y)) AS o
-          FROM {boxes} a JOIN {boxes} b ON a.source_document_id = b.source_document_id AND a.page_number = b.page_number AND a.id < b.id
-           AND a.box_x < b.box_x + b.box_w AND a.box_x + a.box_w > b.box_x AND a.box_y < b.box_y + b.box_h AND a.box_y + a.box_h > b.box_y) p
-    JOIN {boxes} a ON a.id = ia JOIN {boxes} b ON b.id = ib""")
+# The equality first, in a table of its own, so that the boxes are compared within a page only.
+SHARED_SQL["same_page"] = """SELECT a.id AS id_a, b.id AS id_b, a.box_x AS ax, a.box_y AS ay, a.box_w AS aw, a.box_h AS ah,
+        b.box_x AS bx, b.box_y AS by_, b.box_w AS bw, b.box_h AS bh
+    FROM {boxes} a JOIN {boxes} b ON a.source_document_id = b.source_document_id AND a.page_number = b.page_number WHERE a.id < b.id"""
+SHARED_SQL["shared_area"] = """SELECT *, (least(ax + aw, bx + bw) - greatest(ax, bx)) * (least(ay + ah, by_ + bh) - greatest(ay, by_)) AS o FROM {same_page}
+    WHERE ax < bx + bw AND ax + aw > bx AND ay < by_ + bh AND ay + ah > by_"""
+
+
+@query("overlapping_regions", "SELECT id_a, id_b, round(o / (aw * ah + bw * bh - o), 4) AS iou FROM {shared_area}")
 def _(m):
     regions = m.entities.select("id", "source_document_id", "page_number", geometry.box(
         c("box_x"), c("box_y"), c("box_w"), c("box_h")).alias("bbox"))
@@ -426,7 +431,7 @@ SHARED_SQL["uploads"] = """SELECT CAST(doc_id AS VARCHAR) AS document_id, source
 
 @query("route_documents_by_format", """SELECT document_id, CASE kind WHEN 0 THEN 'csv' WHEN 1 THEN 'xlsx' WHEN 5 THEN 'xlsx' WHEN 2 THEN 'ofx' WHEN 3 THEN 'ocr'
     ELSE CASE WHEN starts_with(content, 'OFXHEADER') OR starts_with(content, '<?xml') THEN 'ofx'
-              WHEN contains(substr(content, 1, 2048), ',') THEN 'csv' ELSE 'ocr' END END AS format FROM {uploads}""")
+              WHEN contains(content, ',') AND octet_length(encode(substr(content, 1, position(',' IN content)))) <= 2048 THEN 'csv' ELSE 'ocr' END END AS format FROM {uploads}""")
 def _(m):
     return _uploads(m).select("document_id", D.route_format(c("path"), c("content")).alias("format"))
 
@@ -437,6 +442,12 @@ def _(m):
     return D.register_documents(_uploads(m)).select("document_id", "doc_type")
 
 
+@query("refused_documents", """SELECT document_id, CASE WHEN kind IN (4, 5, 6) THEN 'unsupported type' ELSE 'too large' END AS refused
+    FROM {uploads} WHERE kind IN (4, 5, 6) OR length > 26214400""")
+def _(m):
+    return D.refused_documents(_uploads(m)).select("document_id", "refused")
+
+
 @query("dedupe_documents_by_hash", """SELECT client_book_id, sha256(content) AS content_hash, document_id FROM {uploads} WHERE NOT deleted
     QUALIFY row_number() OVER (PARTITION BY client_book_id, sha256(content) ORDER BY uploaded_at) = 1""")
 def _(m):
@@ -455,7 +466,9 @@ def _(m):
     path = scratch_path(m.spark)
     raw = m.entities.select("id", "client_book_id", F.coalesce("counterparty", F.lit("")).alias("counterparty"), F.when(c("seq") % 6 == 0, "n/a").otherwise(
         c("transaction_date").cast("string")).alias("transaction_date"))
-    sinks.persist_entities(raw, path)
+    sinks.persist_entities(raw.filter("substring(id, 1, 1) = 'i'"), path)
+    sinks.persist_entities(raw, path)  # adds the rest
+    sinks.persist_entities(raw, path)  # a replay adds nothing
     return m.spark.read.schema("id string, counterparty string, transaction_date date, client_book_id string").parquet(path)
 
 

@@ -10,7 +10,7 @@ from ledgermatch.operators.lists import newest_per_book
 c = F.col
 
 UPLOAD_CAP = 25 * 1024 * 1024
-_SNIFFED = 2048
+SNIFFED_BYTES = 2048
 
 # File extensions.
 DOC_TYPES = (("invoice", "pdf|png|jpg|jpeg"), ("gl_export", "csv|xlsx"), ("bank_statement", "ofx|qfx"))
@@ -27,18 +27,32 @@ def route_format(path: Column, content: Column) -> Column:
     out = F
     for name, extensions in FORMATS:
         out = out.when(_ends(path, extensions), name)
-    head = F.substring(content, 1, _SNIFFED)
+    # bytes, not characters; and only these few are decoded
+    head = F.decode(F.substring(content.cast("binary"), 1, SNIFFED_BYTES), "ISO-8859-1")
     return (out.when(_ends(path, MEDIA), "ocr")
             .when(head.startswith("OFXHEADER") | head.startswith("<?xml"), "ofx")
             .when(head.contains(","), "csv").otherwise("ocr"))
 
 
-def register_documents(files: DataFrame) -> DataFrame:
-    """Document type by extension; other types and files above the cap are refused."""
+def classified_uploads(files: DataFrame, cap: int | None = UPLOAD_CAP) -> DataFrame:
+    """Document type by extension, and why a file is refused (null: accepted): its type, or more
+    bytes than ``cap`` (None: no limit)."""
     out = F
     for kind, extensions in DOC_TYPES:
         out = out.when(_ends(c("path"), extensions), kind)
-    return (files.withColumn("doc_type", out).filter(c("doc_type").isNotNull() & (c("length") <= UPLOAD_CAP)))
+    too_large = F.lit(False) if cap is None else c("length") > cap
+    return files.withColumn("doc_type", out).withColumn(
+        "refused", F.when(c("doc_type").isNull(), "unsupported type").when(too_large, "too large"))
+
+
+def register_documents(files: DataFrame, cap: int | None = UPLOAD_CAP) -> DataFrame:
+    """The accepted files."""
+    return classified_uploads(files, cap).filter(c("refused").isNull()).drop("refused")
+
+
+def refused_documents(files: DataFrame, cap: int | None = UPLOAD_CAP) -> DataFrame:
+    """The refused files with the reason, for whoever sent them."""
+    return classified_uploads(files, cap).filter(c("refused").isNotNull())
 
 
 def dedupe_documents_by_hash(documents: DataFrame) -> DataFrame:
@@ -61,11 +75,13 @@ def list_documents(documents: DataFrame, limit: int = 100) -> DataFrame:
 def choose_column_map(headers: DataFrame, maps: DataFrame) -> DataFrame:
     """``headers``: (document_id, client_book_id, header array); ``maps``: (map_id, client_book_id, column_map,
     created_at). The map with most source columns in the header, the newest on ties; without any hit
-    the book's newest map (N10)."""
-    scored = headers.join(maps, "client_book_id").withColumn("score", F.size(F.filter(
+    the book's newest map (N10). Documents of a book without maps get an empty map."""
+    scored = headers.join(maps, "client_book_id", "left").withColumn("score", F.size(F.filter(
         F.map_values("column_map"), lambda v: F.array_contains(F.transform("header", F.lower), F.lower(v)))))
     best = F.max_by(F.struct("map_id", "column_map", "score"), F.struct("score", "created_at", "map_id"))
-    return scored.groupBy("document_id").agg(best.alias("m")).select("document_id", "m.*")
+    return scored.groupBy("document_id").agg(best.alias("m")).select(
+        "document_id", "m.map_id", F.coalesce("m.column_map", F.create_map().cast("map<string,string>")).alias("column_map"),
+        F.greatest("m.score", F.lit(0)).alias("score"))
 
 
 # Words that suggest a target field.

@@ -79,17 +79,19 @@ def scan_ocr_layout(pages: DataFrame) -> DataFrame:
         own["confidence"].alias("extraction_confidence"), F.lit("ocr").alias("source_format"))
 
 
-_ANSWER = ("array<struct<entity_type:string,entity_subtype:string,amount_raw:string,amount_cents:string,currency:string,"
+_ANSWER = ("struct<entity_type:string,entity_subtype:string,amount_raw:string,amount_cents:string,currency:string,"
            "transaction_date:string,counterparty:string,description:string,gl_account_code:string,page_number:int,"
-           "extraction_confidence:double,source_format:string>>")
+           "extraction_confidence:double,source_format:string>")
 
 
 def model_rows_to_entities(answers: DataFrame) -> DataFrame:
     """``answers``: (document_id, answer). Objects of the salvaged array become entities with the
     defaults for what is missing; anything that is not an object is skipped (N21, N22)."""
-    items = answers.select("document_id", F.posexplode(F.from_json(text.salvage_json_array(c("answer")), _ANSWER)).alias("item_no", "i"))
+    # Element by element: one that is no object must not spoil the others.
+    items = answers.select("document_id", F.posexplode(F.from_json(text.salvage_json_array(c("answer")), "array<string>")).alias("item_no", "item"))
     i = c("i")
-    objects = items.filter(i.isNotNull())
+    objects = (items.filter(F.btrim(c("item")).startswith("{")).select("document_id", "item_no", F.from_json("item", _ANSWER).alias("i"))
+               .filter(i.isNotNull()))
 
     def filled(name: str) -> Column:
         return F.when(i[name] != "", i[name])

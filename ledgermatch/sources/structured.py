@@ -1,8 +1,8 @@
 """CSV exports, sheet cells and OFX statements to entity rows.
 
 Input is a table of documents (document_id, client_book_id, doc_type, content ...), read from files with
-``read_documents``. A file is at most 25 MB (the upload cap), so one file is one row; files spread
-over tasks, and its lines become rows before anything is compared.
+``read_documents``. One file is one row (files spread over tasks, and their lines become rows before
+anything is compared); ``register_documents`` refuses files above a size and says so.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermatch.functions import dates, money, text
+from ledgermatch.functions.text import strip
 
 c = F.col
 
-_RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+")++'
+# A quote is a quote at the beginning of a field only; anywhere else it is a character.
+_QUOTED = r'"(?:[^"]++|"")*+"[^,\r\n]*+'
+_RECORD = rf'(?=[^\r\n])(?:{_QUOTED}|[^,\r\n]*+)(?:,(?:{_QUOTED}|[^,\r\n]*+))*+'
 _FIELD = r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
 
 # Columns of double-entry exports that hold an amount, in order of preference.
@@ -27,10 +30,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             .select("path", "length", "content"))
 
 
-def strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(" \t\r\n"))
-
-
 def csv_fields(record: Column) -> Column:
     """Fields of one record; quotes are removed and doubled quotes undone."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_FIELD), F.lit(1))
@@ -92,10 +91,11 @@ def scan_csv_entities(documents: DataFrame) -> DataFrame:
 
 
 def cell_text(kind: Column, value: Column) -> Column:
-    """A sheet cell as text: whole floats lose their '.0', serials become dates, empty is ''."""
+    """A sheet cell as text: whole floats lose their '.0', serials become dates (null if they are none), empty is ''."""
+    serial = F.floor(F.when(kind == "datetime", value).try_cast("double"))
+    days = F.when(serial.between(-693_000, 2_958_465), serial).cast("int")  # years 1 to 9999
     return (F.when(kind == "float", F.regexp_replace(F.regexp_replace(value, r"\.0$", ""), ",", ""))
-            .when(kind == "datetime", F.date_format(F.date_add(
-                F.lit("1899-12-30").cast("date"), F.floor(F.when(kind == "datetime", value).cast("double")).cast("int")), "yyyy-MM-dd"))
+            .when(kind == "datetime", F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), days), "yyyy-MM-dd"))
             .when(kind == "empty", "").otherwise(value))
 
 
