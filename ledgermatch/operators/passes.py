@@ -114,25 +114,29 @@ def match_many_invoices(legs: Legs, pairs: DataFrame) -> DataFrame:
 def match_installments(legs: Legs, pairs: DataFrame) -> DataFrame:
     """Pass 3: one invoice paid by two to five payments that lie within three days.
 
-    The payments do not depend on the single invoice, only on its vendor: combinations grow once
-    per distinct invoice name of a book and meet the invoices by amount afterwards.
+    Payments of a vendor are searched window by window, once for all invoices of that name, by the
+    amounts that the invoices ask for. Nameless payments go with every name; sets of nothing else are
+    searched once per book. Nameless invoices are one more name of their book, whose own payments are all.
     """
     c = F.col
-    invoice = _named(legs.invoices, "inv").withColumn("wanted", F.coalesce(F.lower("inv_name"), F.lit("\u0002")))
-    wanted = invoice.groupBy(_BOOK, "wanted").agg(
-        F.max("tol").alias("tol"), F.max(F.abs("inv_amount")).alias("largest"),
-        F.max("inv_name").alias("inv_name"))
-    searching = searching_names(wanted, pairs, "inv_name", "vendor")
-    bank = found_names(_named(legs.banks, "bank").drop("tol"), "bank_name", "vendor")
-    members = (searching.join(bank, [_BOOK, "vendor"])
-               .select(_BOOK, "wanted", "tol", "largest", c("bank_id").alias("id"),
-                       c("bank_amount").alias("amount"), c("bank_date").alias("date")))
-    sums = combinations_near_dates(members)
-    target = (invoice.withColumn("band", K.amount_band(c("inv_amount"), c("tol")))
-              .select(_BOOK, "wanted", "band", "inv_id", "inv_amount"))
-    paid = (sums.withColumn("band", F.explode(K.amount_bands(c("total"), c("tol"))))
-            .join(target, [_BOOK, "wanted", "band"])
-            .filter(K.amounts_match(c("total"), c("inv_amount"), c("tol"))).drop("band"))
+    anyone, nobody = F.lit("\u0002"), F.lit("\u0003")  # nameless invoices; invoices paid by nameless payments only
+    invoice = _named(legs.invoices, "inv").withColumn("wanted", F.coalesce(F.lower("inv_name"), anyone))
+    wanted = (invoice.filter(c("inv_name").isNotNull()).groupBy(_BOOK, "wanted")
+              .agg(F.max("tol").alias("tol"), F.max("inv_name").alias("inv_name")))
+    bank = _named(legs.banks, "bank")
+    row = [_BOOK, "wanted", c("tol").cast("long").alias("tol"), c("bank_id").alias("id"),
+           c("bank_amount").cast("long").alias("amount"), c("bank_date").alias("date")]
+    named = found_names(bank.filter(c("bank_name").isNotNull()).drop("tol"), "bank_name", "vendor")
+    nameless = bank.filter(c("bank_name").isNull())
+    members = materialise(
+        searching_names(wanted, pairs, "inv_name", "vendor").join(named, [_BOOK, "vendor"]).select(*row)
+        .unionByName(bank.withColumn("wanted", anyone).select(*row)).unionByName(nameless.withColumn("wanted", nobody).select(*row)))
+    with_names = materialise(nameless.withColumn("wanted", anyone).select(*row).drop("wanted"))
+    asked = invoice.select(_BOOK, "wanted", "inv_id", c("inv_amount").cast("long").alias("inv_amount"))
+    targets = asked.unionByName(asked.filter(c("wanted") != anyone).withColumn("wanted", nobody))
+    by_name = combinations_near_dates(members.filter(~c("wanted").isin("\u0002", "\u0003")), with_names, targets)
+    alone = combinations_near_dates(members.filter(c("wanted").isin("\u0002", "\u0003")), with_names.limit(0), targets)
+    paid = materialise(by_name.unionByName(alone))
     return _candidate(_with_gl(paid, legs.gls), 3, F.array("inv_id"), c("ids"), c("gl_id"),
                       c("inv_amount"), c("total"), c("gl_amount"))
 

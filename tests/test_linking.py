@@ -4,13 +4,14 @@ import datetime as dt
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.names import jaro_winkler
 from ledgermatch.operators import candidates as C
 from ledgermatch.operators import passes as P
-from ledgermatch.operators.subset import combinations_near_dates, combinations_to_target
+from ledgermatch.operators.subset import combinations_near_dates, combinations_to_target, window_combinations
 from ledgermatch.operators.vendors import similar_name_pairs
 from ledgermatch.plans.link import link_book
 
@@ -157,16 +158,44 @@ def test_subset_sums_equal_brute_force(spark, target, tol):
     assert got == want and want
 
 
-def test_combinations_in_date_window_equal_brute_force(spark):
-    rnd = random.Random(3)
-    rows = [("b", "w", 1, 100, f"m{i}", rnd.choice([-1, 1]) * rnd.randint(1, 60),
-             None if i == 4 else DAY + dt.timedelta(rnd.randint(0, 9))) for i in range(9)]
-    df = spark.createDataFrame(rows, "client_book_id string, wanted string, tol long, largest long, id string, amount long, date date")
-    got = sorted(tuple(r["ids"]) for r in combinations_near_dates(df).collect())
-    by = {r[4]: r for r in rows}
-
-    def ok(ids):
-        days = [by[i][6] for i in ids if by[i][6]]
-        return (len(days) < 2 or (max(days) - min(days)).days <= 3) and abs(sum(by[i][5] for i in ids)) <= 101
-
-    assert got == sorted(x for n in (2, 3, 4, 5) for x in itertools.combinations(sorted(by), n) if ok(x)) and got
+def test_combinations_in_date_windows_equal_brute_force(spark):
+    rng = random.Random(7)
+    start = dt.date(2024, 1, 1)
+
+    def member(i):
+        day = None if rng.random() < 0.15 else start + dt.timedelta(days=rng.randrange(12))
+        return f"b{i:02d}", rng.randrange(-30, 90), day
+
+    own, nameless = [member(i) for i in range(14)], [member(i) for i in range(20, 25)]
+    asked = [(f"i{k}", x) for k, x in enumerate((60, 61, -45, 120, 3))]
+    got = combinations_near_dates(
+        spark.createDataFrame([("k", "n", 1, *r) for r in own], "client_book_id string, wanted string, tol long, id string, amount long, date date"),
+        spark.createDataFrame([("k", 1, *r) for r in nameless], "client_book_id string, tol long, id string, amount long, date date"),
+        spark.createDataFrame([("k", "n", *r) for r in asked], "client_book_id string, wanted string, inv_id string, inv_amount long")).collect()
+    want, mine = [], {r[0] for r in own}
+    for size in range(2, 6):
+        for combo in itertools.combinations(sorted(own + nameless, key=lambda r: r[0]), size):
+            days = [r[2] for r in combo if r[2]]
+            if (not days or (max(days) - min(days)).days <= 3) and mine & {r[0] for r in combo}:
+                total = sum(r[1] for r in combo)
+                want += [(i, tuple(r[0] for r in combo), total) for i, x in asked if abs(abs(total) - abs(x)) <= 1]
+    assert sorted((r["inv_id"], tuple(r["ids"]), r["total"]) for r in got) == sorted(want) and len(want) > 20
+
+
+def test_window_search_lists_every_set_once():
+    rng = random.Random(1)
+    for _ in range(200):
+        n, tol, largest = rng.randint(2, 11), rng.randint(0, 3), rng.choice([2, 3, 4, 5])
+        amounts, asked = np.array([rng.randint(-6, 12) for _ in range(n)]), np.array([rng.randint(-15, 20) for _ in range(rng.randint(1, 4))])
+        begins, own = (np.array([rng.random() < 0.5 for _ in range(n)]) for _ in range(2))
+        got = sorted((tuple(p), t) for p, t in window_combinations(amounts, begins, own, asked, tol, largest))
+        assert got == sorted((p, t) for t in range(len(asked)) for k in range(2, largest + 1) for p in itertools.combinations(range(n), k)
+                             if abs(abs(amounts[list(p)].sum()) - abs(asked[t])) <= tol and begins[list(p)].any() and own[list(p)].any())
+
+
+def test_one_long_name_costs_its_own_pair_only():
+    import time
+    names = [f"vendor {i}" for i in range(2000)]
+    begin = time.time()
+    assert jaro_winkler([*names, "ab" * 1500], [*names, "ab" * 1499])[-1] > 0.99
+    assert time.time() - begin < 5

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgermatch.functions import dates, geometry, money, text
 from ledgermatch.operators import reports as R
 from ledgermatch.operators import verify as V
+from ledgermatch.sources.ocr import model_rows_to_entities
+from ledgermatch.sources.structured import csv_rows
 
 c = F.col
 
@@ -81,3 +83,24 @@ def test_boxes(spark):
     b = geometry.from_pixels(*(F.lit(float(x)) for x in (100, 200, 50, 30, 1000, 2000)))
     row = spark.range(1).select(b.alias("b"), geometry.iou(b, b).alias("iou"), geometry.contains(b, b).alias("in")).collect()[0]
     assert [round(x, 4) for x in row["b"]] == [0.1, 0.1, 0.05, 0.015] and round(row["iou"], 6) == 1.0 and row["in"]
+
+
+def test_texts_that_fit_nowhere_are_unreadable(spark):
+    texts = ["Acct 1234567890123456 ref 98765432101234", "9" * 24, "9" * 30 + ".5", "12345678901234567890.12", "\t-5.00"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", money.amount_structured(F.col("t")).alias("s"), money.amount_verbatim(F.col("t")).alias("v"),
+        money.amount_citation(F.col("t")).alias("c"), money.line_amount(F.col("t")).alias("l")).orderBy("i").collect()
+    assert [r["v"] for r in rows] == [0, 0, 0, 0, -500] and [r["c"] for r in rows] == [0, 0, 0, 0, 500]
+    assert [r["l"] for r in rows] == [None, None, None, None, -500] and rows[1]["s"] is None
+
+
+def test_a_quote_inside_a_field_is_a_character(spark):
+    content = 'Name,Debit\n5" pipe,1.00\n"a ""b"", c",2.00\n6" pipe,3.00\n'
+    rows = csv_rows(spark.createDataFrame([("d", content)], "document_id string, content string")).orderBy("row_no").collect()
+    assert [r["values"] for r in rows] == [['5" pipe', "1.00"], ['a "b", c', "2.00"], ['6" pipe', "3.00"]]
+
+
+def test_answers_keep_their_objects_next_to_other_items(spark):
+    answer = '[{"amount_raw":"$1.00"},5,"x",null,{"amount_raw":"$2.00"}]'
+    rows = model_rows_to_entities(spark.createDataFrame([("d", answer)], "document_id string, answer string")).collect()
+    assert sorted(r["amount_cents"] for r in rows) == [100, 200]
