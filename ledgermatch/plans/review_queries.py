@@ -70,7 +70,7 @@ def _(m):
 
 
 # one decision per event and group number; bulk ones are sometimes sent for another book
-SHARED_SQL["decisions"] = """SELECT 'grp' || e.event_id % 2000 AS group_id, event_id AS at_no,
+SHARED_SQL["decisions"] = """SELECT 'grp' || e.event_id % (SELECT count(*) FROM orders) AS group_id, event_id AS at_no,
         CASE event_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'needs_review' ELSE 'confirmed' END AS decided,
         event_id % 4 = 3 AND event_id % 3 = 0 AS foreign_book FROM events e"""
 
@@ -80,7 +80,7 @@ SHARED_SQL["decisions"] = """SELECT 'grp' || e.event_id % 2000 AS group_id, even
 def _(m):
     n = c("event_id")
     action = F.when(n % 4 == 0, "confirm").when(n % 4 == 1, "reject").when(n % 4 == 2, "flag").otherwise("bulk_confirm")
-    sent = m.events.select(F.concat(F.lit("grp"), (n % 2000).cast("string")).alias("group_id"), action.alias("action"), n.alias("at"),
+    sent = m.events.select(F.concat(F.lit("grp"), (n % m.orders.count()).cast("string")).alias("group_id"), action.alias("action"), n.alias("at"),
                            ((n % 4 == 3) & (n % 3 == 0)).alias("foreign"))
     decisions = sent.join(m.groups.select(c("id").alias("group_id"), "client_book_id"), "group_id").withColumn(
         "client_book_id", F.when(c("foreign"), "elsewhere").otherwise(c("client_book_id"))).drop("foreign")
@@ -89,13 +89,13 @@ def _(m):
 
 @query("finding_status_history", """SELECT finding_id, arg_max(status, event_id) AS status,
     arg_min(user_id, event_id) FILTER (WHERE status = 'resolved') AS reviewed_by, min(event_id) FILTER (WHERE status = 'resolved') AS reviewed_at
-    FROM (SELECT event_id % 700 AS finding_id, event_id, user_id, CASE event_type WHEN 'purchase' THEN 'resolved'
+    FROM (SELECT event_id % ((SELECT count(*) FROM orders) // 10 + 1) AS finding_id, event_id, user_id, CASE event_type WHEN 'purchase' THEN 'resolved'
           WHEN 'click' THEN 'acknowledged' WHEN 'error' THEN 'broken' ELSE 'open' END AS status FROM events) e
     WHERE status <> 'broken' GROUP BY finding_id""")
 def _(m):
     t = c("event_type")
     status = F.when(t == "purchase", "resolved").when(t == "click", "acknowledged").when(t == "error", "broken").otherwise("open")
-    log = m.events.select((c("event_id") % 700).alias("finding_id"), status.alias("status"), "user_id", c("event_id").alias("at"))
+    log = m.events.select((c("event_id") % (m.orders.count() // 10 + 1)).alias("finding_id"), status.alias("status"), "user_id", c("event_id").alias("at"))
     return V.finding_status_history(log)
 
 
