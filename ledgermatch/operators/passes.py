@@ -50,8 +50,19 @@ def _named(leg: DataFrame, prefix: str) -> DataFrame:
     return leg.select(_BOOK, "tol", *(F.col(c).alias(f"{prefix}_{c}") for c in ("id", "amount", "date", "name")))
 
 
-def equal_amount_pairs(earlier: DataFrame, later: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of equal amount, 0-14 days apart, same vendor. Keys: book, amount band, date band."""
+def _same_vendor(rows: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows whose names are a pair of ``pairs`` or of which one is missing; a join, nothing is compared anew."""
+    known = pairs.select(_BOOK, "name_a", "name_b", F.lit(True).alias("same"))
+    return (rows.withColumn("name_a", F.lower(a)).withColumn("name_b", F.lower(b))
+            .join(known, [_BOOK, "name_a", "name_b"], "left")
+            .filter(F.col("same") | F.col(a).isNull() | F.col(b).isNull()).drop("name_a", "name_b", "same"))
+
+
+def equal_amount_pairs(earlier: DataFrame, later: DataFrame, a: str, b: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of equal amount, 0-14 days apart, same vendor. Keys: book, amount band, date band.
+
+    With ``pairs`` (J1 of the same books) the names are joined; without, each row pair's names are compared.
+    """
     left = (_named(earlier, a)
             .withColumn("band", F.explode(K.amount_bands(F.col(f"{a}_amount"), F.col("tol"))))
             .withColumn("when", F.explode(K.earlier_date_keys(F.col(f"{a}_date")))))
@@ -62,7 +73,9 @@ def equal_amount_pairs(earlier: DataFrame, later: DataFrame, a: str, b: str) ->
             .filter(K.amounts_match(F.col(f"{a}_amount"), F.col(f"{b}_amount"), F.col("tol"))
                     & K.dates_match(F.col(f"{a}_date"), F.col(f"{b}_date")))
             .drop("band", "when"))
-    return keep_same_vendor(near, f"{a}_name", f"{b}_name")
+    if pairs is None:
+        return keep_same_vendor(near, f"{a}_name", f"{b}_name")
+    return _same_vendor(near, pairs, f"{a}_name", f"{b}_name")
 
 
 def _candidate(df: DataFrame, number: int, invoices, banks, gl, invoice_total, bank_total, gl_total,

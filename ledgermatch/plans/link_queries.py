@@ -12,10 +12,15 @@ from ledgermatch.operators import verify as V
 from ledgermatch.operators.vendors import similar_name_pairs
 from ledgermatch.plans.link import candidate_groups, link_book
 from ledgermatch.plans.registry import SHARED_SQL, query
+from ledgermatch.session import materialise
 
 _JW = "jaro_winkler_similarity(lower({a}), lower({b}))"
 
 
+def _vendors(m):
+    return materialise(similar_name_pairs(P.exclude_void(m.entities)))
+
+
 def _same(a: str, b: str) -> str:
     return f"({a} IS NULL OR {b} IS NULL OR {_JW.format(a=a, b=b)} >= 0.9)"
 
@@ -161,7 +166,7 @@ def _pair_query(name, a, b, legs):
     @query(name, f"SELECT client_book_id, {a}_id, {b}_id FROM {{pair_{a}_{b}}}")
     def _(m):
         x = _legs(m)
-        return P.equal_amount_pairs(getattr(x, legs[0]), getattr(x, legs[1]), a, b).select(
+        return P.equal_amount_pairs(getattr(x, legs[0]), getattr(x, legs[1]), a, b, _vendors(m)).select(
             "client_book_id", f"{a}_id", f"{b}_id")
 
 
@@ -183,33 +188,33 @@ _FLAT_SQL = """SELECT client_book_id, invoice_ids, bank_ids, gl_ids, CAST(invoic
 @query("match_exact_1_1_1", _FLAT_SQL % "cand1")
 def _(m):
     x = _legs(m)
-    return _flat(P.match_exact(P.equal_amount_pairs(x.invoices, x.banks, "inv", "bank"),
-                               P.equal_amount_pairs(x.invoices, x.gls, "inv", "gl")))
+    return _flat(P.match_exact(P.equal_amount_pairs(x.invoices, x.banks, "inv", "bank", _vendors(m)),
+                               P.equal_amount_pairs(x.invoices, x.gls, "inv", "gl", _vendors(m))))
 
 
 @query("match_many_invoices_to_bank", _FLAT_SQL % "cand2")
 def _(m):
     x = _legs(m)
-    return _flat(P.match_many_invoices(x, similar_name_pairs(P.exclude_void(m.entities))))
+    return _flat(P.match_many_invoices(x, _vendors(m)))
 
 
 @query("match_installments", _FLAT_SQL % "cand3")
 def _(m):
     x = _legs(m)
-    return _flat(P.match_installments(x, similar_name_pairs(P.exclude_void(m.entities))))
+    return _flat(P.match_installments(x, _vendors(m)))
 
 
 @query("match_bank_gl", _FLAT_SQL % "cand4")
 def _(m):
     x = _legs(m)
-    return _flat(P.match_bank_gl(P.equal_amount_pairs(x.banks, x.gls, "bank", "gl")))
+    return _flat(P.match_bank_gl(P.equal_amount_pairs(x.banks, x.gls, "bank", "gl", _vendors(m))))
 
 
 @query("match_bank_gl_discrepancy", _FLAT_SQL % "cand5")
 def _(m):
     x = _legs(m)
-    return _flat(P.match_bank_gl_discrepancy(x, similar_name_pairs(P.exclude_void(m.entities)),
-                                             P.equal_amount_pairs(x.invoices, x.banks, "inv", "bank")))
+    pairs = _vendors(m)
+    return _flat(P.match_bank_gl_discrepancy(x, pairs, P.equal_amount_pairs(x.invoices, x.banks, "inv", "bank", pairs)))
 
 
 @query("dedupe_candidates", _FLAT_SQL % "cand_best")
