@@ -8,6 +8,7 @@ from __future__ import annotations
 import fnmatch
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -32,7 +33,7 @@ def main() -> int:
     folder, wanted = sys.argv[1], sys.argv[2:] or ["*"]
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "10g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="check-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
