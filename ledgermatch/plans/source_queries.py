@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgermatch.functions import dates, geometry, money, text
 from ledgermatch.operators.regions import overlapping_regions
 from ledgermatch.operators.review import default_reconcilable
+from ledgermatch.plans.ingest import ingest_documents
 from ledgermatch.plans.registry import SHARED_SQL, query
 from ledgermatch.session import scratch_path
 from ledgermatch.sources import documents as D
@@ -106,6 +107,11 @@ def _(m):
     CASE WHEN k % 5 <> 0 AND k % 2 = 0 THEN upper(vendor) || ' — order ' || k WHEN k % 5 <> 0 THEN upper(vendor)
          WHEN k % 2 = 0 THEN 'order ' || k ELSE 'T' || k END AS description, 'T' || k AS transaction_ref FROM {{sales}}""")
 def _(m):
+    return S.scan_ofx_transactions(_ofx_documents(m)).select(
+        "document_id", "amount_cents", "transaction_date", "counterparty", "description", "transaction_ref")
+
+
+def _ofx_documents(m):
     def tag(name, value):
         return F.concat(F.lit(f"<{name}>"), value, F.lit("\n"))
 
@@ -117,9 +123,28 @@ def _(m):
     line = F.concat(F.lit("<STMTTRN>\n"), tag("TRNTYPE", F.lit("DEBIT")), day, amount,
                     tag("FITID", F.concat(F.lit("T"), c("k").cast("string"))), name, memo, F.lit("</STMTTRN>"))
     rows = m.sales.select(_doc_id().alias("document_id"), c("book").alias("client_book_id"), "k", line.alias("line"))
-    files = _files(rows, "OFXHEADER:100\n<OFX><BANKTRANLIST>\n", "\n</BANKTRANLIST></OFX>")
-    return S.scan_ofx_transactions(files).select(
-        "document_id", "amount_cents", "transaction_date", "counterparty", "description", "transaction_ref")
+    return _files(rows, "OFXHEADER:100\n<OFX><BANKTRANLIST>\n", "\n</BANKTRANLIST></OFX>")
+
+
+# Ledger exports and statements uploaded together, every ledger export twice; two maps a book, the newer one fits worse.
+@query("ingest_documents", f"""SELECT 'csv/' || document_id AS document_id, entity_type, amount_cents, transaction_date, counterparty, transaction_ref
+    FROM ({_csv_sql(True)}) t
+    UNION ALL SELECT 'ofx/' || {_DOC}, 'bank_transaction', -cents, d, CASE WHEN k % 5 <> 0 THEN upper(vendor) END, 'T' || k FROM {{sales}}""")
+def _(m):
+    def upload(files, kind, at, prefix):
+        return files.select(F.concat(F.lit(prefix), "document_id").alias("document_id"), "client_book_id",
+                            F.concat("document_id", F.lit(f".{kind}")).alias("path"), F.length("content").alias("length"), "content",
+                            F.lit(at).alias("uploaded_at"), F.lit(False).alias("deleted"))
+
+    ledger = _csv_documents(m)
+    files = upload(ledger, "csv", 1, "csv/").unionByName(upload(ledger, "csv", 2, "again/")).unionByName(upload(_ofx_documents(m), "ofx", 1, "ofx/"))
+    books = m.books.select(c("id").alias("client_book_id"))
+    good = books.select("client_book_id", F.lit(1).alias("map_id"), F.lit(1).alias("created_at"), F.create_map(*(F.lit(x) for x in (
+        "date", "Transaction Date", "amount", "Debit", "counterparty", "Name", "description", "Memo", "account_code", "Account"))).alias("column_map"))
+    poor = books.select("client_book_id", F.lit(2).alias("map_id"), F.lit(2).alias("created_at"),
+                        F.create_map(F.lit("amount"), F.lit("Credit")).alias("column_map"))
+    return ingest_documents(files, good.unionByName(poor)).select(
+        "document_id", "entity_type", "amount_cents", "transaction_date", "counterparty", "transaction_ref")
 
 
 # ---- lines of text ------------------------------------------------------------------------------

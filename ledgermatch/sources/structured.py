@@ -37,6 +37,11 @@ def csv_fields(record: Column) -> Column:
         f.startswith('"'), F.regexp_replace(F.regexp_replace(f, '^"|"$', ""), '""', '"')).otherwise(f))
 
 
+def csv_header(content: Column) -> Column:
+    """Fields of the first record."""
+    return csv_fields(F.regexp_extract(content.cast("string"), _RECORD, 0))
+
+
 def csv_rows(documents: DataFrame) -> DataFrame:
     """One row per record: header and values as arrays, row_no from 1. Ragged records are kept."""
     records = F.regexp_extract_all(c("content").cast("string"), F.lit(_RECORD), F.lit(0))
