@@ -10,8 +10,8 @@ beyond that are reported with a null slot; leaving them out is what the weights
 
 Scale: block i's slot depends on counts alone, so the driver schedules ``max_slots`` blocks at most (the
 block size grows with the corpus) from one count per source, and sends that table to the tasks. Ranks
-inside a source come from hash buckets of some thousand rows with summed offsets, so a source that holds
-a third of all rows is never sorted or counted in one task.
+inside a source come from hash buckets with summed offsets, as many buckets as they have rows, so a source
+that holds a third of all rows is never sorted or counted in one task.
 
 Defined results
 - Null is a source like any other. Sources without a weight, or with weight 0, are never picked.
@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,6 @@ from ledgermatch.llm.common import documents, row_key
 
 MAX_SLOTS = 1 << 16
 MAX_SHARE = Fraction(1, 3)
-_BUCKET_ROWS = 4096
 _MIX = ["block", "release", "deadline", "slot"]
 
 
@@ -94,7 +94,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fractio
     slots = pfair_schedule(chosen, blocks) if blocks else []
     plan = spark.createDataFrame([("" if s is None else f"={s}", *rest) for s, *rest in slots], shape)
 
-    buckets = max(1, -(-max(sizes.values(), default=0) // _BUCKET_ROWS))
+    buckets = 1 + math.isqrt(max(sizes.values(), default=0))
     rows = docs.select(F.struct("*").alias("row"), _source_key(F.col(source)).alias("__source"), row_key().alias("__place"))
     rows = rows.withColumn("__bucket", F.pmod("__place", F.lit(buckets)).cast("int"))
     before = (rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
