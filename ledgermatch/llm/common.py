@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
+import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermatch.session import materialise, scratch_path
 
-__all__ = ["documents", "whole_text", "row_key", "crc_fold", "materialise", "scratch_path", "partitions_for"]
+__all__ = ["documents", "whole_text", "row_key", "crc_fold", "materialise", "scratch_path", "release_shuffles"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed by the result contract
 
@@ -33,6 +34,10 @@ def crc_fold(folds: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def partitions_for(spark: SparkSession, units: int, per_partition: int) -> int:
-    """Partitions for a shuffle: as many as the session asks for, more when the data needs them."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(units / per_partition), 1)
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go. Spark keeps them until the driver's plan objects are
+    collected, which on an idle driver can take longer than a whole job; what follows reads written tables."""
+    for _ in range(2):  # the first round only drops Python's hold on the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

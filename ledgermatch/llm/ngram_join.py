@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermatch.llm.common import documents, materialise
+from ledgermatch.llm.common import documents, materialise, release_shuffles
 from ledgermatch.llm.components import connected_components
 
 BLOCK = 1_500_000          # n-grams per block of a cell
@@ -322,15 +322,13 @@ def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) ->
             keys = [ngram_keys(text, n, hashes) for text in batch.pop("text")]
             yield batch.assign(keys=[k.tobytes() for k in keys])
 
-    def dealt(places):
-        return (docs.select(F.col("doc_id").alias("node"), "text").join(places, "node")
-                .select("node", "cell", "block", "blocks", "text")
-                .mapInPandas(build, "node long, cell long, block int, blocks int, keys binary")
-                .withColumns({"label": F.col("node"), "query": F.lit(True)}))
-
-    several = materialise(dealt(placed.where("blocks > 1")))
-    links = materialise(_search(dealt(placed.where("blocks = 1")), ["cell", "block"], percent)
-                        .union(_search(several, ["cell", "block"], percent)))
+    dealt = materialise(docs.select(F.col("doc_id").alias("node"), "text").join(placed, "node")
+                        .select("node", "cell", "block", "blocks", "text")
+                        .mapInPandas(build, "node long, cell long, block int, blocks int, keys binary")
+                        ).withColumns({"label": F.col("node"), "query": F.lit(True)})
+    release_shuffles(docs.sparkSession)
+    links = materialise(_search(dealt, ["cell", "block"], percent))
+    several = dealt.where("blocks > 1")
     if several.isEmpty():
         return links
 
@@ -367,6 +365,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # Copies of a set are one document from here on: the one with the smallest id.
     copies = materialise(sets.where("size > 0 AND doc_id IS NOT NULL").groupBy("digest", "node", "size").agg(F.min("doc_id").alias("first")))
     shared = materialise(_shared(sets.where("doc_id IS NOT NULL")))
+    release_shuffles(docs.sparkSession)
     enough = F.col("n") >= 1 + F.floor(EXTRA * F.floor((percent * F.col("size") + 99) / 100) / 100)
     partnered = materialise(copies.join(shared.groupBy("node").agg(F.count("*").alias("n")), "node").where(enough)
                             .select("node", "first", "size"))
@@ -375,9 +374,11 @@ def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = (postings.join(leaders, "key").where("first <> lead")
              .select(F.col("first").alias("a"), F.col("lead").alias("b")).distinct())
     cells = connected_components(stars).withColumnRenamed("component", "cell")
+    release_shuffles(docs.sparkSession)
     cells = cells.join(partnered.select(F.col("first").alias("node"), "size"), "node")
     links = materialise(_links_of_cells(cells, docs, n, percent))
     classes = connected_components(links)
+    release_shuffles(docs.sparkSession)
     named = copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(
         "digest", F.coalesce("component", "first").alias("component_id"))
     return sets.join(named, "digest", "left").select(
@@ -387,7 +388,8 @@ def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one_per_class(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class, and those without a doc_id."""
-    gone = ngram_classes(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialise(ngram_classes(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct())
+    release_shuffles(docs.sparkSession)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
