@@ -322,7 +322,7 @@ def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) ->
             keys = [ngram_keys(text, n, hashes) for text in batch.pop("text")]
             yield batch.assign(keys=[k.tobytes() for k in keys])
 
-    dealt = materialise(docs.select(F.col("doc_id").alias("node"), "text").join(placed, "node")
+    dealt = materialise(docs.select(F.col("doc_id").alias("node"), "text").join(placed.hint("shuffle_hash"), "node")
                         .select("node", "cell", "block", "blocks", "text")
                         .mapInPandas(build, "node long, cell long, block int, blocks int, keys binary")
                         ).withColumns({"label": F.col("node"), "query": F.lit(True)})
@@ -390,7 +390,7 @@ def keep_one_per_class(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """The rows of ``docs`` whose doc_id is the smallest of its class, and those without a doc_id."""
     gone = materialise(ngram_classes(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct())
     release_shuffles(docs.sparkSession)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
