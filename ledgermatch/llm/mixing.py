@@ -5,8 +5,11 @@ gets block i between its release floor((i - 1) / w) and its deadline ceil(i / w)
 released block with the earliest deadline. After any number of slots t, each source has had less than one
 block more or less than w * t.
 
-The mix ends when a slot's source has no block left: going on would leave the target weights. Documents
-beyond that are reported with a null slot; leaving them out is what the weights ask for.
+Without target weights the sources' own shares count, uncapped: every block of every source gets a slot,
+the last ones in the last slot of all. With target weights (or ``max_share``) ``mix_sources`` ends the mix
+when a slot's source has no block left, because going on would leave the weights, and reports the documents
+beyond with a null slot. With ``whole`` it goes on: the sources that still have blocks share the following
+slots by their weights among themselves, until every block has a slot. ``take_mix`` does that.
 
 Scale: block i's slot depends on counts alone, so the driver schedules ``max_slots`` blocks at most (the
 block size grows with the corpus) from one count per source, and sends that table to the tasks. Ranks
@@ -14,7 +17,7 @@ inside a source come from hash buckets with summed offsets, as many buckets as t
 that holds a third of all rows is never sorted or counted in one task.
 
 Defined results
-- Null is a source like any other. Sources without a weight, or with weight 0, are never picked.
+- Null is a source like any other. Sources to which given weights assign none, or 0, are never picked.
 - Rows that repeat keep their own places, in any order. An empty table gives an empty result.
 - Columns called mix_block, mix_release, mix_deadline or mix_slot in the input are replaced.
 """
@@ -73,15 +76,33 @@ def pfair_schedule(weights: dict, blocks: dict) -> list[tuple]:
     return found
 
 
+def whole_schedule(weights: dict, blocks: dict) -> list[tuple]:
+    """``pfair_schedule`` and, from where it ends, the same for the blocks left; every block of a weighted source once.
+
+    Inside each part a source has less than one block more or less than its weight among the part's sources.
+    """
+    used, found = dict.fromkeys(blocks, 0), []
+    while True:
+        left = {s: n - used[s] for s, n in blocks.items() if n > used[s] and weights.get(s, 0) > 0}
+        if not left:
+            return found
+        start = len(found)
+        found += [(s, used[s] + block, start + release, start + deadline, start + slot)
+                  for s, block, release, deadline, slot in pfair_schedule({s: weights[s] for s in left}, left)]
+        for s, *_ in found[start:]:
+            used[s] += 1
+
+
 def _source_key(source):
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fraction = MAX_SHARE,
-                max_slots: int = MAX_SLOTS, source: str = "source", prefix: str = "mix_") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fraction | None = None,
+                max_slots: int = MAX_SLOTS, source: str = "source", prefix: str = "mix_", whole: bool = False) -> DataFrame:
     """``docs`` with mix_block, mix_release, mix_deadline (in slots) and mix_slot; all but the block null where not in the mix.
 
-    Without ``weights`` (source -> weight) the sources' own shares count, none above ``max_share``.
+    Without ``weights`` (source -> weight) the sources' own shares count, none above ``max_share`` if that is given.
+    ``whole``: where the weights cannot be held any longer the blocks left are mixed too, none is left out.
     """
     spark = docs.sparkSession
     mix = [prefix + x for x in _MIX]
@@ -89,9 +110,9 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fractio
     sizes = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # one row per source
     block_rows = max(1, -(-sum(sizes.values()) // max_slots))
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    chosen = weights if weights is not None else capped_weights(blocks, max_share)
+    chosen = weights if weights is not None else capped_weights(blocks, max_share) if max_share is not None else blocks
     shape = T.StructType([T.StructField("__source", T.StringType()), *(T.StructField(x, T.LongType()) for x in mix)])
-    slots = pfair_schedule(chosen, blocks) if blocks else []
+    slots = (whole_schedule if whole else pfair_schedule)(chosen, blocks) if blocks else []
     plan = spark.createDataFrame([("" if s is None else f"={s}", *rest) for s, *rest in slots], shape)
 
     buckets = 1 + math.isqrt(max(sizes.values(), default=0))
@@ -107,8 +128,8 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fractio
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are in the mix, all columns as they were."""
-    return mix_sources(docs, prefix="__mix_", **options).where("__mix_slot IS NOT NULL").select(docs.columns)
+    """The rows of ``docs`` that are in the mix, all columns as they were: all but those whose source given weights assign none."""
+    return mix_sources(docs, prefix="__mix_", whole=True, **options).where("__mix_slot IS NOT NULL").select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:

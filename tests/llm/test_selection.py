@@ -59,6 +59,22 @@ def test_mixing_on_odd_input(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.take_mix(docs.limit(0)).count() == 0
 
 
+def test_own_shares_and_given_weights_keep_every_document(spark):
+    rows = [(i, f"text {i}", "web" if i < 700 else "books" if i < 899 else None if i == 899 else "code") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for blocks in ({"a": 70, "b": 20, "c": 10}, {"web": 900, "books": 100, None: 1}, {"a": 1000, "b": 1}, {"a": 60, "b": 10, "c": 10, "d": 10, "e": 10}):
+        slots = mixing.pfair_schedule(blocks, blocks)
+        assert Counter(s for s, *_ in slots) == blocks and max(deadline for *_, deadline, _ in slots) == len(slots)
+        slots = mixing.whole_schedule({s: k + 1 for k, s in enumerate(blocks)}, blocks)
+        assert Counter(s for s, *_ in slots) == blocks and len({(s, b) for s, b, *_ in slots}) == len(slots)
+        assert all(slot == t and release <= t < deadline for t, (_, _, release, deadline, slot) in enumerate(slots))
+    for max_slots in (50, 1 << 16):
+        assert mixing.mix_sources(docs, max_slots=max_slots).where("mix_slot IS NULL").isEmpty()
+        assert mixing.take_mix(docs, max_slots=max_slots).count() == 1000
+        assert mixing.take_mix(docs, weights={"web": 1, "books": 1, "code": 1, None: 1}, max_slots=max_slots).count() == 1000
+    assert mixing.take_mix(docs, weights={"web": 1, "books": 0}).count() == 700
+
+
 # --- quality --------------------------------------------------------------------------------------
 
 def brute_measures(text):
