@@ -14,9 +14,10 @@ class, state). In training a word outside the short list counts as if its own oc
 text. Output biases start at the corpus frequencies, so training starts from the unigram model.
 
 Training. A GRU, truncated backpropagation through time in numpy: windows of ``WINDOW`` tokens, the state
-carried into the next window, gradients cut there. Each task trains a copy on a share of its training
-documents (``TASK_TOKENS`` tokens a round, documents chosen by hash) and the copies are averaged, for
-``ROUNDS`` rounds; so what is read for training grows with the corpus.
+carried into the next window, gradients cut there. Every training document is read once, from its first
+token to its end: a hash of doc_id and codes puts it into one of ``ROUNDS`` rounds. A round's documents are
+dealt over as many tasks as it has ``DEAL_TOKENS`` tokens; each task trains a copy on its documents, about
+``TASK_TOKENS`` tokens at a time, and the copies are averaged.
 
 Scoring. Every document from its first token to its end, the state carried across windows.
 
@@ -43,7 +44,7 @@ from ledgermatch.llm.common import crc_fold, documents, materialise
 
 SHORT_LIST, CLASS_WORDS, HIDDEN = 2048, 64, 20
 WINDOW, SIDE_BY_SIDE, TRAIN_SIDE = 24, 768, 96
-TASK_TOKENS, ROUNDS, RATE = 200_000, 2, 0.012
+TASK_TOKENS, DEAL_TOKENS, ROUNDS, RATE = 200_000, 2_000_000, 2, 0.012
 BLOCK_TOKENS = 4_000_000
 _POWERS = 32
 _TAIL = 2 * _POWERS + 1                       # codes after the short list: power and whether exactly it; unseen last
@@ -362,43 +363,42 @@ def train_documents(net: Network, docs: list[np.ndarray], rate: float = RATE) ->
 
 # --- Spark ----------------------------------------------------------------------------------------
 
+def training_documents(coded: DataFrame, turn: int) -> DataFrame:
+    """The rows of ``coded`` that round ``turn`` trains on; every training document is in one round."""
+    return coded.where("NOT held_out").where(F.pmod(F.xxhash64("doc_id", "codes"), F.lit(ROUNDS)) == turn)
+
+
 def _train(coded: DataFrame, corpus: Corpus) -> np.ndarray:
     """Rounds of local training and averaging; returns the flat weights (a few hundred thousand floats)."""
     spark = coded.sparkSession
-    flat = Network(corpus).flat()
+    flat, tasks = Network(corpus).flat(), -(-corpus.tokens // (ROUNDS * DEAL_TOKENS)) or 1
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(flat)
 
-        def run(batches, sent=sent, turn=turn):
-            chosen, size, offered = [], 0, 0
-            for batch in batches:  # documents by hash; the share follows from what the task turns out to hold
-                for doc_id, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                    place = xxhash.xxh3_64_intdigest(codes, seed=turn)
-                    chosen.append((place, codes))
-                    size, offered = size + len(codes) // 2, offered + 1
-                    if size > 4 * TASK_TOKENS:
-                        chosen.sort()
-                        while size > 2 * TASK_TOKENS:
-                            size -= len(chosen.pop()[1]) // 2
-            chosen.sort()
-            while size > TASK_TOKENS and len(chosen) > 1:
-                size -= len(chosen.pop()[1]) // 2
-            if chosen:
-                docs = [np.frombuffer(c, np.uint16) for _, c in chosen]
-                net = train_documents(Network(corpus).load(sent.value), docs)
-                yield pa.RecordBatch.from_arrays([pa.array([1.0]), pa.array([net.flat().astype("f8")], pa.list_(pa.float64()))], names=["n", "flat"])
+        def run(batches, sent=sent):
+            held = sorted((xxhash.xxh3_64_intdigest(codes), codes) for batch in batches for codes in batch.column(0).to_pylist())
+            net, piece, size = Network(corpus).load(sent.value), [], 0
+            for at, (_, codes) in enumerate(held):
+                piece.append(np.frombuffer(codes, np.uint16))
+                size += len(piece[-1])
+                if size >= TASK_TOKENS or at + 1 == len(held):
+                    net, piece, size = train_documents(net, piece), [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([1.0]), pa.array([net.flat()], pa.list_(pa.float32()))], names=["n", "flat"])
 
         def add(batches):
             n, total = 0.0, None
             for batch in batches:
                 for count, values in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    values = np.asarray(values.values)
+                    values = np.asarray(values.values).astype("f8")
                     n, total = n + count, values.copy() if total is None else total + values
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total], pa.list_(pa.float64()))], names=["n", "flat"])
 
         # Summed up in streams, so no task or driver holds more than a few copies of the weights.
-        copies = coded.where("NOT held_out").select("doc_id", "codes").mapInArrow(run, "n double, flat array<double>")
+        # Dealt in turn, not by a key: no document's copies make a task larger than the others.
+        dealt = training_documents(coded, turn).select("codes").repartition(tasks)
+        copies = dealt.mapInArrow(run, "n double, flat array<float>")
         sums = copies.repartition(8).mapInArrow(add, "n double, flat array<double>").collect()
         if sums:
             flat = (sum(np.array(r["flat"]) for r in sums) / sum(r["n"] for r in sums)).astype("f4")

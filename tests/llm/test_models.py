@@ -1,5 +1,6 @@
 import math
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -162,6 +163,26 @@ def test_counts_and_base_score_equal_brute_force_and_the_model_beats_them(spark,
     assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new) and all(r["score"] < 0 for r in got)
 
 
+def test_every_training_document_is_trained_on_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm_score, "TASK_TOKENS", 100)
+    monkeypatch.setattr(lm_score, "DEAL_TOKENS", 1000)
+
+    def record(net, docs, folder=str(tmp_path)):
+        with open(f"{folder}/{uuid.uuid4()}", "w") as out:
+            out.write(" ".join(str(len(d)) for d in docs))
+        return net
+
+    monkeypatch.setattr(lm_score, "train_documents", record)
+    code = lambda n: np.zeros(n, "u2").tobytes()
+    sizes = [10 + i % 37 for i in range(400)]
+    frame = spark.createDataFrame([(i, i % 7 == 2, bytearray(code(n))) for i, n in enumerate(sizes)], "doc_id long, held_out boolean, codes binary").coalesce(1)
+    figures = lm_score.Corpus(sum(sizes), 1, np.ones(lm_score.SHORT_LIST), np.ones(32), np.ones(lm_score._CLASSES + 33))
+    lm_score._train(frame, figures)
+    pieces = [[int(x) for x in f.read_text().split()] for f in tmp_path.iterdir()]
+    assert sorted(n for piece in pieces for n in piece) == sorted(n for i, n in enumerate(sizes) if i % 7 != 2)
+    assert all(sum(piece) < 100 + max(sizes) for piece in pieces)
+
+
 def test_language_model_on_odd_input(spark):
     docs = odd_documents(spark)
     rows = lm_score.score_corpus(docs, F.coalesce(crc_fold(7) == 2, F.lit(False))).collect()
