@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgermatch.functions.names import jaro_winkler
 from ledgermatch.operators import candidates as C
 from ledgermatch.operators import passes as P
+from ledgermatch.operators import subset
 from ledgermatch.operators.subset import combinations_near_dates, combinations_to_target, window_combinations
 from ledgermatch.operators.vendors import similar_name_pairs
 from ledgermatch.plans.link import link_book
@@ -193,6 +195,24 @@ def test_window_search_lists_every_set_once():
                              if abs(abs(amounts[list(p)].sum()) - abs(asked[t])) <= tol and begins[list(p)].any() and own[list(p)].any())
 
 
+@pytest.mark.parametrize("lookups", [1, 3, 50])
+def test_window_search_in_small_parts_lists_the_same_sets(monkeypatch, lookups):
+    monkeypatch.setattr(subset, "_LOOKUPS", lookups)
+    test_window_search_lists_every_set_once()
+
+
+def test_a_large_window_never_holds_its_triples(monkeypatch):
+    monkeypatch.setattr(subset, "_LOOKUPS", 1 << 12)
+    rng = np.random.default_rng(1)
+    amounts, every = rng.integers(10**9, 10**12, 200), np.ones(200, bool)
+    asked = np.array([amounts[[3, 50, 70, 120, 199]].sum()])
+    tracemalloc.start()
+    found = [p for p, _ in window_combinations(amounts, every, every, asked, 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [3, 50, 70, 120, 199] in found and peak < 8e6  # the 1313400 triples alone are 42 MB
+
+
 def test_one_long_name_costs_its_own_pair_only():
     import time
     names = [f"vendor {i}" for i in range(2000)]
