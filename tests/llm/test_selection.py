@@ -176,6 +176,11 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == len(out["encode"])
 
 
+def test_unlabelled_documents_with_a_letter_stay(spark):
+    rows = [(1, "some words", None, "s"), (2, "12 34", None, "s"), (3, None, None, "s"), (4, "é", None, None)]
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, texts_frame(spark, rows), "").collect()} == {1, 4}
+
+
 def test_pipeline_stages_on_odd_and_empty_input(spark):
     for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
         for name, stage in corpus_pipeline.STAGES:
