@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgermatch.llm import exact_dedup, langid, line_dedup, lm_score, mixing, ngram_join, packing, quality, sentencepiece, substring_dedup
+from ledgermatch.llm import (exact_dedup, langid, line_dedup, lm_score, merkle, mixing, ngram_join, packing, quality, sentencepiece,
+                             substring_dedup)
 
-MODULES = [sentencepiece, ngram_join, lm_score, substring_dedup, langid, exact_dedup, line_dedup, mixing, quality, packing]
+MODULES = [sentencepiece, ngram_join, lm_score, substring_dedup, langid, exact_dedup, line_dedup, mixing, quality, packing, merkle]
 
 
 def queries() -> dict:
