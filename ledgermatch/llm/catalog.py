@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgermatch.llm import (byte_bpe, exact_dedup, langid, line_dedup, lm_score, merkle, mixing, ngram_join, packing, quality, sentencepiece,
-                             substring_dedup)
+from ledgermatch.llm import (byte_bpe, centroids, exact_dedup, langid, line_dedup, lm_score, merkle, mixing, ngram_join, packing, quality,
+                             sentencepiece, substring_dedup)
 
-MODULES = [sentencepiece, ngram_join, lm_score, substring_dedup, langid, exact_dedup, line_dedup, mixing, quality, packing, byte_bpe, merkle]
+MODULES = [sentencepiece, ngram_join, lm_score, substring_dedup, langid, exact_dedup, line_dedup, mixing, quality, packing, byte_bpe, centroids, merkle]
 
 
 def queries() -> dict:
