@@ -30,7 +30,7 @@ import base64
 import itertools
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ RANKS_NAME = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 _WIDTHS = (4, 6, 8, 12, 16, 24, 48, 96, LONG)  # buckets: a match is padded by a half at most
 _MATRIX_CELLS = 1 << 20
-_WORDS_AT_ONCE = 200_000
-_CACHED_WORDS, _CACHED_LENGTH = 300_000, 48
+_ROWS_AT_ONCE, _WORDS_AT_ONCE = 512, 50_000
+_CACHED_WORDS, _CACHED_LENGTH = 100_000, 48
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -168,13 +168,16 @@ class ByteBpe:
         self.byte_ids = np.full(256, -1, np.int32)
         for i in range(256):
             self.byte_ids[i] = self.ids[bytes([i])]
-        self.pairs = PairTable(self.ids)
         self.parts = [b""] * (max(self.ids.values()) + 1)
         for part, i in self.ids.items():
             self.parts[i] = part
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def pairs(self) -> PairTable:
+        return PairTable(self.ids)
+
     # --- encoding
 
     def merged(self, words: list[bytes]) -> list[bytes]:
@@ -279,8 +282,10 @@ def _mapped(rows: DataFrame, column: str, into: str, files: tuple[bytes, str], c
     def run(batches):
         tokenizer = _tokenizer(*files)
         for batch in batches:
-            found = pa.array(convert(tokenizer, batch.column(at).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), found], names=shape.names)
+            for start in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.slice(start, _ROWS_AT_ONCE)
+                found = pa.array(convert(tokenizer, part.column(at).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), found], names=shape.names)
 
     return rows.mapInArrow(run, shape)
 
