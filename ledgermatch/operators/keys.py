@@ -52,6 +52,17 @@ def amount_bands(amount: Column, tolerance: Column) -> Column:
     return bands(F.abs(amount) - tolerance, F.abs(amount) + tolerance, tolerance)
 
 
+def power_of_two(amount: Column) -> Column:
+    """The band of an amount other than zero whose width doubles with it."""
+    return F.floor(F.log2(F.abs(amount).cast("double"))).cast("int")
+
+
+def neighbouring_powers(amount: Column) -> Column:
+    """Bands of all amounts between half and twice of this one."""
+    own = power_of_two(amount)
+    return F.array(own - 1, own, own + 1)
+
+
 def _day(date: Column) -> Column:
     return F.unix_date(date)
 

@@ -58,10 +58,20 @@ def _same_vendor(rows: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame
             .filter(F.col("same") | F.col(a).isNull() | F.col(b).isNull()).drop("name_a", "name_b", "same"))
 
 
+def _occurring_vendors(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows whose names denote one vendor or of which one is missing; each pair of different names is scored once."""
+    c = F.col
+    named = materialise(rows.withColumn("name_a", F.lower(a)).withColumn("name_b", F.lower(b)))
+    differ = (c("name_a") != c("name_b")) & (F.length("name_a") > 0) & (F.length("name_b") > 0)
+    scored = keep_same_vendor(named.filter(differ).select("name_a", "name_b").distinct(), "name_a", "name_b").withColumn("same", F.lit(True))
+    alike = c(a).isNull() | c(b).isNull() | ((c("name_a") == c("name_b")) & (F.length("name_a") > 0))
+    return named.join(scored, ["name_a", "name_b"], "left").filter(alike | c("same")).drop("name_a", "name_b", "same")
+
+
 def equal_amount_pairs(earlier: DataFrame, later: DataFrame, a: str, b: str, pairs: DataFrame | None = None) -> DataFrame:
     """Pairs of equal amount, 0-14 days apart, same vendor. Keys: book, amount band, date band.
 
-    With ``pairs`` (J1 of the same books) the names are joined; without, each row pair's names are compared.
+    With ``pairs`` (J1 of the same books) the names are joined; without, the names that occur together are compared.
     """
     left = (_named(earlier, a)
             .withColumn("band", F.explode(K.amount_bands(F.col(f"{a}_amount"), F.col("tol"))))
@@ -74,7 +84,7 @@ def equal_amount_pairs(earlier: DataFrame, later: DataFrame, a: str, b: str, pai
                     & K.dates_match(F.col(f"{a}_date"), F.col(f"{b}_date")))
             .drop("band", "when"))
     if pairs is None:
-        return keep_same_vendor(near, f"{a}_name", f"{b}_name")
+        return _occurring_vendors(near, f"{a}_name", f"{b}_name")
     return _same_vendor(near, pairs, f"{a}_name", f"{b}_name")
 
 
@@ -162,18 +172,23 @@ def match_bank_gl(bank_gl: DataFrame) -> DataFrame:
 
 
 def unequal_pairs(legs: Legs, pairs: DataFrame) -> DataFrame:
-    """Same vendor and date window, amounts differ, the gap at most half of the larger amount."""
+    """Same vendor and date window, amounts differ, the gap at most half of the larger amount.
+
+    The smaller amount is then at least half the larger, so their powers of two are neighbours: a further key.
+    """
     c = F.col
-    bank = (searching_names(_named(legs.banks, "bank"), pairs, "bank_name", "vendor")
-            .withColumn("when", F.explode(K.earlier_date_keys(c("bank_date")))))
-    gl = (found_names(_named(legs.gls, "gl").drop("tol"), "gl_name", "vendor")
-          .withColumn("when", F.explode(K.later_date_keys(c("gl_date")))))
+    bank = (searching_names(_named(legs.banks, "bank").filter("bank_amount <> 0"), pairs, "bank_name", "vendor")
+            .withColumn("when", F.explode(K.earlier_date_keys(c("bank_date"))))
+            .withColumn("power", F.explode(K.neighbouring_powers(c("bank_amount")))))
+    gl = (found_names(_named(legs.gls, "gl").filter("gl_amount <> 0").drop("tol"), "gl_name", "vendor")
+          .withColumn("when", F.explode(K.later_date_keys(c("gl_date"))))
+          .withColumn("power", K.power_of_two(c("gl_amount"))))
     larger = F.greatest(F.abs("bank_amount"), F.abs("gl_amount"))
     smaller = F.least(F.abs("bank_amount"), F.abs("gl_amount"))
-    return (bank.join(gl, [_BOOK, "vendor", "when"])
+    return (bank.join(gl, [_BOOK, "vendor", "when", "power"]).drop("power")
             .filter(K.dates_match(c("bank_date"), c("gl_date"))
                     & ~K.amounts_match(c("bank_amount"), c("gl_amount"), c("tol"))
-                    & (smaller > 0) & (2 * (larger - smaller) <= larger)))
+                    & (2 * (larger - smaller) <= larger)))
 
 
 def match_bank_gl_discrepancy(legs: Legs, pairs: DataFrame, invoice_bank: DataFrame) -> DataFrame:

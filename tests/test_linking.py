@@ -13,7 +13,7 @@ from ledgermatch.functions.names import jaro_winkler
 from ledgermatch.operators import candidates as C
 from ledgermatch.operators import passes as P
 from ledgermatch.operators import subset
-from ledgermatch.operators.subset import combinations_near_dates, combinations_to_target, window_combinations
+from ledgermatch.operators.subset import combinations_near_dates, combinations_to_target
 from ledgermatch.operators.vendors import similar_name_pairs
 from ledgermatch.plans.link import link_book
 
@@ -184,33 +184,63 @@ def test_combinations_in_date_windows_equal_brute_force(spark):
     assert sorted((r["inv_id"], tuple(r["ids"]), r["total"]) for r in got) == sorted(want) and len(want) > 20
 
 
-def test_window_search_lists_every_set_once():
-    rng = random.Random(1)
-    for _ in range(200):
-        n, tol, largest = rng.randint(2, 11), rng.randint(0, 3), rng.choice([2, 3, 4, 5])
-        amounts, asked = np.array([rng.randint(-6, 12) for _ in range(n)]), np.array([rng.randint(-15, 20) for _ in range(rng.randint(1, 4))])
-        begins, own = (np.array([rng.random() < 0.5 for _ in range(n)]) for _ in range(2))
-        got = sorted((tuple(p), t) for p, t in window_combinations(amounts, begins, own, asked, tol, largest))
-        assert got == sorted((p, t) for t in range(len(asked)) for k in range(2, largest + 1) for p in itertools.combinations(range(n), k)
-                             if abs(abs(amounts[list(p)].sum()) - abs(asked[t])) <= tol and begins[list(p)].any() and own[list(p)].any())
-
-
-@pytest.mark.parametrize("lookups", [1, 3, 50])
-def test_window_search_in_small_parts_lists_the_same_sets(monkeypatch, lookups):
-    monkeypatch.setattr(subset, "_LOOKUPS", lookups)
-    test_window_search_lists_every_set_once()
-
-
-def test_a_large_window_never_holds_its_triples(monkeypatch):
-    monkeypatch.setattr(subset, "_LOOKUPS", 1 << 12)
+def _members(spark, rows):
+    return spark.createDataFrame(rows, "anchor long, tol long, id string, amount long, mark int")
+
+
+def _targets(spark, rows):
+    return spark.createDataFrame(rows, "anchor long, target string, target_amount long")
+
+
+@pytest.mark.parametrize("largest,block", [(5, 3), (5, 1 << 16), (4, 7), (3, 5), (2, 5)])
+def test_sets_of_many_anchors_equal_brute_force(spark, monkeypatch, largest, block):
+    """Small blocks: the pairs of an anchor lie in many, and sets are made across them."""
+    monkeypatch.setattr(subset, "BLOCK", block)
+    monkeypatch.setattr(subset, "_WANTED", 4)
+    monkeypatch.setattr(subset, "_LOOKUPS", 5 * block)
+    rng = random.Random(largest + block)
+    members = [(a, a % 3, f"m{i:02d}", rng.randint(-9, 25), rng.choice([0, 1, 2, 3, 3])) for a in range(6) for i in range(rng.choice([1, 9, 10]))]
+    targets = [(a, f"t{k}", rng.randint(-30, 60)) for a in range(6) for k in range(rng.randint(0, 4))]
+    got = sorted((r["anchor"], r["target"], tuple(r["ids"]), r["total"]) for r in subset.sets_to_targets(_members(spark, members), _targets(spark, targets), largest).collect())
+    want = []
+    for a, t, x in targets:
+        own = sorted(m for m in members if m[0] == a)
+        for size in range(2, largest + 1):
+            for combo in itertools.combinations(own, size):
+                total = sum(m[3] for m in combo)
+                marks = 0
+                for m in combo:
+                    marks |= m[4]
+                if marks == 3 and abs(abs(total) - abs(x)) <= a % 3:
+                    want.append((a, t, tuple(m[2] for m in combo), total))
+    assert got == sorted(want) and want
+
+
+def test_a_window_of_three_thousand_payments(spark):
+    """4.5 million pairs in about seventy blocks; sets of up to four are found without their triples."""
+    rng = random.Random(5)
+    amounts = [rng.randrange(10**13, 10**14) for _ in range(3000)]
+    planted = {"two": [5, 2900], "three": [7, 1500, 2999], "four": [0, 900, 901, 2500]}
+    members = [(1, 0, f"p{i:04d}", x, 3) for i, x in enumerate(amounts)]
+    targets = [(1, name, sum(amounts[i] for i in places)) for name, places in planted.items()] + [(1, "none", 10**13)]
+    got = {(r["target"], tuple(r["ids"])) for r in subset.sets_to_targets(_members(spark, members), _targets(spark, targets), 4).collect()}
+    assert got == {(name, tuple(f"p{i:04d}" for i in places)) for name, places in planted.items()}
+
+
+def test_a_couple_of_blocks_never_holds_its_products():
     rng = np.random.default_rng(1)
-    amounts, every = rng.integers(10**9, 10**12, 200), np.ones(200, bool)
-    asked = np.array([amounts[[3, 50, 70, 120, 199]].sum()])
+    amounts = rng.integers(10**9, 10**12, 400)
+    i, j = np.triu_indices(400, 1)
+    order = np.argsort(amounts[i] + amounts[j])
+    block = {"total": (amounts[i] + amounts[j])[order], "i": i[order], "j": j[order], "mark": np.full(len(order), 3)}
+    some = [3, 50, 70, 120, 199]
+    lacking = amounts[some].sum() - amounts
+    wanted = {"low": lacking, "high": lacking, "x": np.arange(400), "mark": np.full(400, 3)}
     tracemalloc.start()
-    found = [p for p, _ in window_combinations(amounts, every, every, asked, 0)]
+    found = [places for _, places, _ in subset.couple_sets(block, block, wanted, True)]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert [3, 50, 70, 120, 199] in found and peak < 8e6  # the 1313400 triples alone are 42 MB
+    assert found == [some] and peak < 120e6  # the products of the pairs and the wanted sums are 32 million
 
 
 def test_one_long_name_costs_its_own_pair_only():
