@@ -148,8 +148,9 @@ def test_pair_join_equals_brute_force(spark):
     assert got == sorted((x[2], y[2]) for x in a for y in b if ok(x, y)) and got
 
 
-@pytest.mark.parametrize("target,tol", [(90, 2), (-40, 0), (3, 10)])
-def test_subset_sums_equal_brute_force(spark, target, tol):
+@pytest.mark.parametrize("target,tol,few", [(90, 2, 6), (-40, 0, 3), (3, 10, 6)])
+def test_subset_sums_equal_brute_force(spark, monkeypatch, target, tol, few):
+    monkeypatch.setattr(subset, "FEW", few)
     rnd = random.Random(target)
     amounts = {f"m{i:02d}": rnd.choice([-1, 1, 1]) * rnd.randint(1, 60) for i in range(11)}
     rows = [("b", tol, "a", target, k, v) for k, v in amounts.items()]
@@ -160,7 +161,9 @@ def test_subset_sums_equal_brute_force(spark, target, tol):
     assert got == want and want
 
 
-def test_combinations_in_date_windows_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [1, 4, 6])
+def test_combinations_in_date_windows_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(subset, "FEW", few)
     rng = random.Random(7)
     start = dt.date(2024, 1, 1)
 
@@ -196,7 +199,8 @@ def _targets(spark, rows):
 def test_sets_of_many_anchors_equal_brute_force(spark, monkeypatch, largest, block):
     """Small blocks: the pairs of an anchor lie in many, and sets are made across them."""
     monkeypatch.setattr(subset, "BLOCK", block)
-    monkeypatch.setattr(subset, "_WANTED", 4)
+    monkeypatch.setattr(subset, "_TARGETS", 2)
+    monkeypatch.setattr(subset, "_MEMBERS", 3)
     monkeypatch.setattr(subset, "_LOOKUPS", 5 * block)
     rng = random.Random(largest + block)
     members = [(a, a % 3, f"m{i:02d}", rng.randint(-9, 25), rng.choice([0, 1, 2, 3, 3])) for a in range(6) for i in range(rng.choice([1, 9, 10]))]
