@@ -108,6 +108,63 @@ def test_linking_a_batch_again_changes_nothing(spark, tmp_path):
     assert [spark.read.parquet(f"{base}/{t}").count() for t in ("entities", "groups", "members", "findings")] == [6, 2, 6, 2]
 
 
+def test_relinking_reads_only_what_is_pending_in_touched_books(spark, tmp_path, monkeypatch):
+    schema = ("client_book_id string, id string, entity_type string, entity_subtype string, amount_cents long, transaction_date date, counterparty string")
+    books = spark.createDataFrame([(b, 1, 0.85, 0.5) for b in "abc"], "id string, tolerance_cents long, auto_link_threshold double, review_floor double")
+
+    def legs(book, amount, kinds="ibg"):
+        names = {"i": "invoice_line_item", "b": "bank_transaction", "g": "gl_entry"}
+        return [(book, f"{book}{k}{amount}", names[k], "standard", amount, dt.date(2026, 3, 1), "Acme") for k in kinds]
+
+    batches = [legs("a", 500) + legs("b", 700, "ib"), legs("a", 90000) + legs("b", 700, "g")]
+    read, pending = [], J._pending
+
+    def watched(spark, base, number, touched, shape):
+        found = pending(spark, base, number, touched, shape)
+        read.append((number, sorted(r["id"] for r in found.collect())))
+        return found
+
+    monkeypatch.setattr(J, "_pending", watched)
+    base = str(tmp_path / "store")
+    for number in (0, 1, 1):  # the last batch is replayed
+        J.link_and_verify(spark.createDataFrame(batches[number], schema), number, base, books, "{}")
+    assert read == [(0, []), (1, ["bb700", "bi700"]), (1, ["bb700", "bi700"])]
+    together = str(tmp_path / "together")
+    J.link_and_verify(spark.createDataFrame(sum(batches, []), schema), 0, together, books, "{}")
+    for table, key in (("groups", "id"), ("members", "extracted_entity_id"), ("findings", "reconciliation_group_id")):
+        one, many = (sorted(r[0] for r in spark.read.parquet(f"{x}/{table}").select(key).collect()) for x in (together, base))
+        assert one == many and one
+
+
+def test_repeats_get_the_stored_answer_for_a_day(spark, tmp_path):
+    hour = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    schema = "request_id long, user_id long, key string, ts timestamp, response string"
+    batches = [[(1, 7, "k", hour(0), "one"), (2, 7, "k", hour(3), "two"), (3, 8, "k", hour(1), "three")],
+               [(4, 7, "k", hour(23), "four"), (5, 7, "k", hour(24), "five"), (6, 7, "k", hour(25), "six")],
+               [(7, 9, "z", hour(200), "seven")], [(8, 9, "z", hour(201), "eight")], [(9, 7, "k", hour(202), "nine")]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        J.start(J.answered_requests(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out),
+                str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {r["request_id"]: (r["response"], r["replayed"]) for r in spark.read.parquet(out).collect()}
+    assert got == {1: ("one", False), 2: ("one", True), 3: ("three", False), 4: ("one", True), 5: ("five", False), 6: ("five", True),
+                   7: ("seven", False), 8: ("seven", True), 9: ("nine", False)}
+
+
+def test_a_subscription_is_switched_off_once(spark, tmp_path):
+    at = dt.datetime(2026, 1, 1)
+    schema = "subscription_id string, at timestamp, delivery_id long, failed boolean"
+    batches = [[("s", at, 1, True), ("s", at, 2, False), ("t", at, 3, True)], [("s", at, 9, True), ("s", at, 5, True), ("s", at, 4, True)],
+               [("s", at, 10, True), ("t", at, 11, True), ("u", at, 12, True)], [("t", at, 13, True), ("t", at, 14, True)]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        J.start(J.disabled_subscriptions(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out),
+                str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sorted((r["subscription_id"], r["disabled_by"]) for r in spark.read.parquet(out).collect()) == [("s", 5), ("t", 13)]
+
+
 def test_document_stream_drops_repeated_content(spark, tmp_path):
     schema = "document_id string, client_book_id string, doc_type string, content string"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
