@@ -5,11 +5,11 @@ gets block i between its release floor((i - 1) / w) and its deadline ceil(i / w)
 released block with the earliest deadline. After any number of slots t, each source has had less than one
 block more or less than w * t.
 
-Without target weights the sources' own shares count, uncapped: every block of every source gets a slot,
-the last ones in the last slot of all. With target weights (or ``max_share``) ``mix_sources`` ends the mix
-when a slot's source has no block left, because going on would leave the weights, and reports the documents
-beyond with a null slot. With ``whole`` it goes on: the sources that still have blocks share the following
-slots by their weights among themselves, until every block has a slot. ``take_mix`` does that.
+Target weights are given per source, or ``EQUAL`` for the same weight to every source; without any the sources' own
+shares count, uncapped. Where a slot's source has no block left the weights cannot be held any longer: the sources
+that still have blocks share the following slots by their weights among themselves, until every block
+has a slot. With ``whole`` False ``mix_sources`` ends the mix there and reports the documents beyond with a null slot.
+``take_mix`` gives the rows in the order of their slots.
 
 Scale: block i's slot depends on counts alone, so the driver schedules ``max_slots`` blocks at most (the
 block size grows with the corpus) from one count per source, and sends that table to the tasks. Ranks
@@ -37,6 +37,7 @@ from ledgermatch.llm.common import documents, row_key
 
 MAX_SLOTS = 1 << 16
 MAX_SHARE = Fraction(1, 3)
+EQUAL = "equal"  # target weights: every source the same
 _MIX = ["block", "release", "deadline", "slot"]
 
 
@@ -97,11 +98,11 @@ def _source_key(source):
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fraction | None = None,
-                max_slots: int = MAX_SLOTS, source: str = "source", prefix: str = "mix_", whole: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | str | None = None, max_share: Fraction | None = None,
+                max_slots: int = MAX_SLOTS, source: str = "source", prefix: str = "mix_", whole: bool = True) -> DataFrame:
     """``docs`` with mix_block, mix_release, mix_deadline (in slots) and mix_slot; all but the block null where not in the mix.
 
-    Without ``weights`` (source -> weight) the sources' own shares count, none above ``max_share`` if that is given.
+    Without ``weights`` (source -> weight, or ``EQUAL``) the sources' own shares count, none above ``max_share`` if that is given.
     ``whole``: where the weights cannot be held any longer the blocks left are mixed too, none is left out.
     """
     spark = docs.sparkSession
@@ -110,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fractio
     sizes = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # one row per source
     block_rows = max(1, -(-sum(sizes.values()) // max_slots))
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    chosen = weights if weights is not None else capped_weights(blocks, max_share) if max_share is not None else blocks
+    chosen = dict.fromkeys(blocks, 1) if weights == EQUAL else weights if weights is not None else capped_weights(blocks, max_share) if max_share is not None else blocks
     shape = T.StructType([T.StructField("__source", T.StringType()), *(T.StructField(x, T.LongType()) for x in mix)])
     slots = (whole_schedule if whole else pfair_schedule)(chosen, blocks) if blocks else []
     plan = spark.createDataFrame([("" if s is None else f"={s}", *rest) for s, *rest in slots], shape)
@@ -123,17 +124,20 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: Fractio
     inside = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__place"))
     ranked = (rows.withColumn("__inside", inside).join(before, ["__source", "__bucket"])
               .withColumn(mix[0], F.floor((F.col("__before") + F.col("__inside") - 1) / block_rows).cast("long") + 1))
-    # At most max_slots rows of 60 bytes: bounded whatever the corpus.
-    return ranked.join(F.broadcast(plan), ["__source", mix[0]], "left").select(*kept, *mix)
+    # The plan has at most max_slots rows and one per source; Spark broadcasts it if that is small.
+    return ranked.join(plan, ["__source", mix[0]], "left").select(*kept, *mix)
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are in the mix, all columns as they were: all but those whose source given weights assign none."""
-    return mix_sources(docs, prefix="__mix_", whole=True, **options).where("__mix_slot IS NOT NULL").select(docs.columns)
+    """The rows of ``docs`` in the order of the mix, all columns as they were: all but those whose source given weights
+    assign none. Written, each file holds a run of slots, and the files follow each other."""
+    mixed = mix_sources(docs, prefix="__mix_", **options).where("__mix_slot IS NOT NULL")
+    return mixed.repartitionByRange("__mix_slot").sortWithinPartitions("__mix_slot").select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(documents(spark, folder)).select("doc_id", "source", *("mix_" + x for x in _MIX))
+    """Every document's block and slot where all sources have the same target weight."""
+    return mix_sources(documents(spark, folder), EQUAL).select("doc_id", "source", *("mix_" + x for x in _MIX))
 
 
 QUERIES = {"op8_mixing": op8_mixing}

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -37,7 +38,7 @@ def test_capped_weights():
 
 def test_mix_keeps_target_weights_in_every_prefix(spark):
     rows = [(i, f"text {i}", "en", "big" if i % 10 < 6 else f"s{i % 10}" if i % 10 < 9 else None) for i in range(1000)]
-    mixed = mixing.mix_sources(texts_frame(spark, rows), {"big": 2, "s6": 1, "s7": 1, None: 1}, max_slots=100).collect()
+    mixed = mixing.mix_sources(texts_frame(spark, rows), {"big": 2, "s6": 1, "s7": 1, None: 1}, max_slots=100, whole=False).collect()
     assert len(mixed) == 1000
     used = [r for r in mixed if r["mix_slot"] is not None]
     assert {r["source"] for r in used} == {"big", "s6", "s7", None}
@@ -50,6 +51,39 @@ def test_mix_keeps_target_weights_in_every_prefix(spark):
         assert block == got[source] and all(abs(got[s] - w * (t + 1) / 5) < 1 for s, w in {"big": 2, "s6": 1, "s7": 1, None: 1}.items())
 
 
+def plain_schedule(weights, sizes):
+    """Every slot by looking at all blocks left: of the released ones the earliest deadline, restarted where a source ends."""
+    used, found = dict.fromkeys(sizes, 0), []
+    key = lambda s: (s is None, s or "")
+    while any(used[s] < sizes[s] for s in sizes):
+        left = {s: Fraction(weights[s]) for s in sizes if used[s] < sizes[s]}
+        share = {s: w / sum(left.values()) for s, w in left.items()}
+        start, before = len(found), dict(used)
+        while True:
+            t = len(found) - start
+            ready = [(-(-(used[s] - before[s] + 1) // share[s]), key(s), s) for s in left if (used[s] - before[s]) // share[s] <= t]
+            source = min(ready)[2]
+            if used[source] == sizes[source]:
+                break
+            used[source] += 1
+            found.append((source, used[source]))
+    return found
+
+
+def test_query_equals_a_schedule_over_all_blocks(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", rng_source) for i, rng_source in enumerate(["web"] * 120 + ["books"] * 31 + [None] * 9 + ["code"])]
+    texts_frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op8_mixing(spark, str(tmp_path)).collect()
+    want = plain_schedule({"web": 1, "books": 1, None: 1, "code": 1}, {"web": 120, "books": 31, None: 9, "code": 1})
+    assert [(r["source"], r["mix_block"]) for r in sorted(got, key=lambda r: r["mix_slot"])] == want and len({r["doc_id"] for r in got}) == 161
+    # Inside a source the blocks stand in the order of a hash of id and text.
+    hashed = {r[0]: r[1] for r in texts_frame(spark, rows).select("doc_id", F.xxhash64("doc_id", "text")).collect()}
+    buckets = 1 + math.isqrt(120)
+    for source in ("web", "books", None):
+        mine = [r["doc_id"] for r in sorted((r for r in got if r["source"] == source), key=lambda r: r["mix_block"])]
+        assert mine == sorted(mine, key=lambda i: (hashed[i] % buckets, hashed[i]))
+
+
 def test_mixing_on_odd_input(spark):
     docs = odd_documents(spark)
     mixed = mixing.mix_sources(docs)
@@ -168,10 +202,16 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert out["exact"] == set(latest.values())
     classes = brute_classes([want[i] for i in out["exact"]], 5, 80)
     assert out["near"] == {c for _, c in classes.values()}
-    sources = Counter(want[i][3] for i in out["near"])
-    mixed = Counter(want[i][3] for i in out["mix"])
-    target = mixing.capped_weights(sources)
-    assert all(abs(mixed[s] - target[s] * len(out["mix"])) < 1 for s in sources) and any(mixed[s] == sources[s] for s in sources)
+    assert out["mix"] == out["near"]  # every document has a slot
+    sizes = Counter(want[i][3] for i in out["near"])
+    order = [r["source"] for part in sorted((tmp_path / "mix").glob("part-*")) for r in spark.read.parquet(str(part)).collect()]
+    got = Counter()
+    for t, source in enumerate(order, 1):  # equal weights hold in every prefix, until one source has no document left
+        got[source] += 1
+        assert all(abs(got[s] - t / len(sizes)) < 1 for s in sizes)
+        if got[source] == sizes[source]:
+            break
+    assert len(order) == len(out["near"]) and t >= len(sizes) * (min(sizes.values()) - 1)
     assert out["encode"] == out["mix"] and all(r["exact"] and len(r["ids"]) == r["n_ids"] for r in kept.collect())
     assert corpus_pipeline.run(spark, d).count() == len(out["encode"])
 
