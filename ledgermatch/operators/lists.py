@@ -3,6 +3,8 @@ equal sort values still give one result; limits are the reports' own page sizes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -115,6 +117,29 @@ ENUMS = {
     "source_format": ("ocr", "structured", "manual"),
 }
 
+# The permitted codes of the other stored tables.
+STORED_ENUMS = {
+    "books": {"tolerance_mode": ("fixed", "percentage", "greater_of")},
+    "users": {"role": ("firm_admin", "staff")},
+    "documents": {"doc_type": ("invoice", "bank_statement", "gl_export"), "ocr_status": ("pending", "processing", "done", "failed")},
+    "groups": {"status": ("auto_linked", "needs_review", "confirmed", "rejected")},
+    "members": {"role": ("invoice", "bank", "gl")},
+    "findings": {"severity": ("info", "low", "medium", "high"), "status": ("open", "acknowledged", "resolved")},
+    "periods": {"status": ("open", "pending_close", "closed", "reopened")},
+    "accounts": {"account_type": ("asset", "liability", "equity", "revenue", "expense")},
+    "requests": {"status": ("pending", "fulfilled", "waived")},
+}
+
+
+def stored_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """F14 over whole tables by name (each with an ``id``): table_name, id, column_name, value. A table's columns that it
+    lacks are not looked at; no table is shuffled."""
+    found = []
+    for name, rows in tables.items():
+        rules = {col: allowed for col, allowed in STORED_ENUMS[name].items() if col in rows.columns}
+        found.append(enum_violations(rows, rules).select(F.lit(name).alias("table_name"), "id", "column_name", "value"))
+    return reduce(DataFrame.unionByName, found)
+
 
 def ordered(rows: DataFrame, *order) -> DataFrame:
     """Dimension lists in their display order."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermatch.operators.lists import newest_per_book
+from ledgermatch.operators.numbering import numbered
 from ledgermatch.operators.verify import SEVERITY_BANDS
 
 c = F.col
@@ -34,10 +35,9 @@ def finding_citation(findings: DataFrame, members: DataFrame, entities: DataFram
             .join(best, "reconciliation_group_id").join(source, "extracted_entity_id"))
 
 
-def report_members(reports: DataFrame, citations: DataFrame, key: str = "reconciliation_group_id") -> DataFrame:
-    """Citations of findings that a report lists."""
-    listed = reports.select(F.explode("finding_ids").alias(key)).distinct()
-    return citations.join(listed, key, "left_semi")
+def report_members(rows: DataFrame, citations: DataFrame, key: str = "reconciliation_group_id") -> DataFrame:
+    """Citations of findings that a report lists (rows: see ``report_rows``)."""
+    return citations.join(rows.select(key), key, "left_semi")
 
 
 def findings_in_period(findings: DataFrame, members: DataFrame, entities: DataFrame, start: str, end: str) -> DataFrame:
@@ -47,14 +47,27 @@ def findings_in_period(findings: DataFrame, members: DataFrame, entities: DataFr
     return findings.join(touched.select("reconciliation_group_id"), "reconciliation_group_id", "left_semi")
 
 
+_REPORT = ["id", "client_book_id", "period_start", "period_end"]
+
+
+def report_rows(listed: DataFrame) -> DataFrame:
+    """The reports' findings as rows: report, position from 0 (newest first), reconciliation_group_id, findings (of the
+    report). ``listed``: a report's columns, reconciliation_group_id, created_on. No task holds a report."""
+    aged = listed.select(*_REPORT, (-F.unix_date("created_on")).alias("age"), "reconciliation_group_id")
+    return numbered(aged, _REPORT, ["age", "reconciliation_group_id"], "position", "findings").drop("age")
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """Whole reports, a row with the array of finding ids each: what one reader of one report asks for."""
+    found = F.sort_array(F.collect_list(F.struct("position", c("reconciliation_group_id").alias("id"))))
+    return rows.groupBy(*_REPORT).agg(F.transform(found, lambda x: x["id"]).alias("finding_ids"))
+
+
 def period_report(findings: DataFrame, start: str, end: str) -> DataFrame:
     """One report row per book with its finding ids, newest first."""
-    newest = F.sort_array(F.collect_list(F.struct(
-        (-F.unix_date("created_on")).alias("age"), c("reconciliation_group_id").alias("id"))))
-    return findings.groupBy("client_book_id").agg(
-        F.transform(newest, lambda x: x["id"]).alias("finding_ids"),
-    ).select("client_book_id", F.lit(start).cast("date").alias("period_start"),
-             F.lit(end).cast("date").alias("period_end"), "finding_ids")
+    listed = findings.withColumns({"id": F.concat(F.lit("report:"), "client_book_id"), "period_start": F.lit(start).cast("date"),
+                                   "period_end": F.lit(end).cast("date")})
+    return assembled(report_rows(listed)).drop("id")
 
 
 def severity_tally(findings: DataFrame) -> DataFrame:
@@ -107,11 +120,12 @@ def past_due_findings(findings: DataFrame, books: DataFrame, as_of: str) -> Data
 
 
 def avg_resolution_seconds(findings: DataFrame, books: DataFrame, as_of: str) -> DataFrame:
-    """Mean time from creation to review over the last 30 days, per firm."""
+    """Mean time from creation to review over the last 30 days, per firm (A8); days or moments, to the second."""
+    seconds = c("reviewed_on").cast("timestamp").cast("double") - c("created_on").cast("timestamp").cast("double")
     firm = books.select(c("id").alias("client_book_id"), "firm_id")
     return (findings.filter(c("reviewed_on") >= F.date_sub(F.lit(as_of).cast("date"), 30))
             .join(firm, "client_book_id").groupBy("firm_id")
-            .agg(F.avg(F.datediff("reviewed_on", "created_on") * F.lit(86400.0)).alias("avg_resolution_seconds")))
+            .agg(F.avg(seconds).alias("avg_resolution_seconds")))
 
 
 def book_breakdown(findings: DataFrame, books: DataFrame, as_of: str) -> DataFrame:
@@ -144,10 +158,10 @@ def firm_dashboard(findings: DataFrame, requests: DataFrame, books: DataFrame, a
     return stale_requests(requests, books).join(figures, "firm_id", "left").fillna(0, counts)
 
 
-def portal_reports(reports: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest reports of each book with the number of findings."""
-    return newest_per_book(reports, limit, F.desc("period_end"), c("id")).select(
-        "id", "client_book_id", "period_start", "period_end", F.size("finding_ids").alias("findings"))
+def portal_reports(rows: DataFrame, limit: int = 50) -> DataFrame:
+    """Newest reports of each book with the number of findings (F10), from the rows of ``report_rows``."""
+    reports = rows.filter("position = 0").select(*_REPORT, "findings")
+    return newest_per_book(reports, limit, F.desc("period_end"), c("id"))
 
 
 def portal_findings(findings: DataFrame, limit: int = 100) -> DataFrame:
@@ -156,21 +170,16 @@ def portal_findings(findings: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def monthly_reports(findings: DataFrame, members: DataFrame, entities: DataFrame, periods: DataFrame) -> DataFrame:
-    """The period report of every book and period in one job."""
+    """The rows of the period report of every book and period, in one job."""
     from ledgermatch.operators.periods import entity_periods
 
     dated = members.join(entities.select(c("id").alias("extracted_entity_id"), "client_book_id", "transaction_date"),
                          "extracted_entity_id")
     touched = entity_periods(dated, periods).select("reconciliation_group_id", "period_id", "period_start", "period_end").distinct()
-    newest = F.sort_array(F.collect_list(F.struct(
-        (-F.unix_date("created_on")).alias("age"), c("reconciliation_group_id").alias("id"))))
-    return (findings.join(touched, "reconciliation_group_id")
-            .groupBy("client_book_id", "period_id", "period_start", "period_end")
-            .agg(F.transform(newest, lambda x: x["id"]).alias("finding_ids"))
-            .withColumn("id", F.concat(F.lit("report:"), "period_id")))
+    return report_rows(findings.join(touched, "reconciliation_group_id").withColumn("id", F.concat(F.lit("report:"), "period_id")))
 
 
-def get_report(reports: DataFrame) -> DataFrame:
-    """Report rows with their dates as text."""
-    return reports.select("id", "client_book_id", F.date_format("period_start", "yyyy-MM-dd").alias("period_start"),
+def get_report(rows: DataFrame) -> DataFrame:
+    """Whole reports with their dates as text."""
+    return assembled(rows).select("id", "client_book_id", F.date_format("period_start", "yyyy-MM-dd").alias("period_start"),
                           F.date_format("period_end", "yyyy-MM-dd").alias("period_end"), "finding_ids")

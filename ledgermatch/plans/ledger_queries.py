@@ -328,6 +328,35 @@ def _(m):
     return L.enum_violations(dirty, L.ENUMS)
 
 
+@query("stored_enum_violations", """SELECT * FROM (
+    SELECT 'books' AS table_name, id, 'tolerance_mode' AS column_name, CASE WHEN tolerance_cents > 200 THEN 'none' ELSE tolerance_mode END AS value FROM {books}
+    UNION ALL SELECT 'users', id, 'role', CASE WHEN right(id, 1) = '9' THEN 'guest' ELSE role END FROM {users}
+    UNION ALL SELECT 'groups', id, 'status', status FROM {groups}
+    UNION ALL SELECT 'members', reconciliation_group_id || ':' || extracted_entity_id, 'role', CASE WHEN right(extracted_entity_id, 1) = '7' THEN 'ledger' ELSE role END FROM {members}
+    UNION ALL SELECT 'findings', reconciliation_group_id, 'status', status FROM {finding_lifecycle}
+    UNION ALL SELECT 'periods', id, 'status', CASE WHEN right(id, 5) = '06-01' THEN 'locked' ELSE status END FROM {periods}
+    UNION ALL SELECT 'accounts', client_book_id || ':' || account_code, 'account_type', CASE WHEN account_code = '5000' THEN 'cost' ELSE account_type END FROM {accounts}
+    UNION ALL SELECT 'requests', id, 'status', CASE WHEN right(id, 1) = '3' THEN 'lost' ELSE status END FROM {requests}) v
+    WHERE value IS NOT NULL AND value NOT IN ('fixed', 'percentage', 'greater_of', 'firm_admin', 'staff', 'auto_linked', 'needs_review', 'confirmed', 'rejected',
+      'invoice', 'bank', 'gl', 'open', 'acknowledged', 'resolved', 'pending_close', 'closed', 'reopened', 'asset', 'liability', 'equity', 'revenue', 'expense',
+      'pending', 'fulfilled', 'waived')""")
+def _(m):
+    def spoilt(rows, key, col, when, value):
+        return rows.select(key.alias("id"), F.when(when, F.lit(value)).otherwise(c(col)).alias(col))
+
+    own = c("id")
+    return L.stored_violations({
+        "books": spoilt(m.books, own, "tolerance_mode", c("tolerance_cents") > 200, "none"),
+        "users": spoilt(m.users, own, "role", own.endswith("9"), "guest"),
+        "groups": m.groups.select("id", "status"),
+        "members": spoilt(m.members, F.concat_ws(":", "reconciliation_group_id", "extracted_entity_id"), "role", c("extracted_entity_id").endswith("7"), "ledger"),
+        "findings": m.finding_lifecycle.select(c("reconciliation_group_id").alias("id"), "status"),
+        "periods": spoilt(m.periods, own, "status", own.endswith("06-01"), "locked"),
+        "accounts": spoilt(m.accounts, F.concat_ws(":", "client_book_id", "account_code"), "account_type", c("account_code") == "5000", "cost"),
+        "requests": spoilt(m.requests, own, "status", own.endswith("3"), "lost"),
+    })
+
+
 @query("list_periods", "SELECT id, client_book_id, period_start, period_end, status FROM {periods}")
 def _(m):
     return L.ordered(m.periods, "client_book_id", F.desc("period_start")).select(
@@ -350,6 +379,12 @@ def _(m):
     return a.unionByName(b)
 
 
+@query("report_rows", """SELECT id, client_book_id, period_start, period_end, unnest(finding_ids) AS reconciliation_group_id,
+    unnest(range(len(finding_ids))) AS position, CAST(len(finding_ids) AS BIGINT) AS findings FROM {reports}""")
+def _(m):
+    return _reports(m)
+
+
 @query("get_report", """SELECT id, client_book_id, strftime(period_start, '%Y-%m-%d') AS period_start,
     strftime(period_end, '%Y-%m-%d') AS period_end, array_to_string(finding_ids, ',') AS finding_ids FROM {reports}""")
 def _(m):

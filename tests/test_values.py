@@ -104,3 +104,28 @@ def test_answers_keep_their_objects_next_to_other_items(spark):
     answer = '[{"amount_raw":"$1.00"},5,"x",null,{"amount_raw":"$2.00"}]'
     rows = model_rows_to_entities(spark.createDataFrame([("d", answer)], "document_id string, answer string")).collect()
     assert sorted(r["amount_cents"] for r in rows) == [100, 200]
+
+
+def test_first_of_equal_template_codes_wins(spark):
+    from ledgermatch.operators.review import apply_coa_template
+    accounts = '[{"account_code":"10","account_name":"Zeta","account_type":"asset"},{"account_code":"10","account_name":"Alpha","account_type":"asset"},' \
+        '{"account_code":"","account_name":"No code","account_type":"asset"},{"account_code":"20","account_name":"Odd","account_type":"other"},{"account_code":"30","account_name":"Had","account_type":"equity"}]'
+    got = apply_coa_template(spark.createDataFrame([("b", "30")], "client_book_id string, account_code string"),
+                             spark.createDataFrame([("t", accounts)], "template_id string, accounts string"),
+                             spark.createDataFrame([("b", "t")], "client_book_id string, template_id string")).collect()
+    assert [(r["account_code"], r["account_name"]) for r in got] == [("10", "Zeta")]
+
+
+def test_resolution_time_is_exact_to_the_second(spark):
+    rows = [("b", dt.datetime(2024, 5, 1, 8, 0, 0), dt.datetime(2024, 5, 1, 8, 0, 30)), ("b", dt.datetime(2024, 5, 1), dt.datetime(2024, 5, 2))]
+    got = R.avg_resolution_seconds(spark.createDataFrame(rows, "client_book_id string, created_on timestamp, reviewed_on timestamp"),
+                                   spark.createDataFrame([("b", "f")], "id string, firm_id string"), "2024-05-10").collect()
+    assert [tuple(r) for r in got] == [("f", 43215.0)]
+
+
+def test_codes_outside_the_lists_are_found_in_every_table(spark):
+    from ledgermatch.operators import lists as L
+    tables = {name: spark.createDataFrame([("good", *(v[0] for v in rules.values())), ("bad", *("?" for _ in rules)), ("none", *(None for _ in rules))],
+                                          "id string, " + ", ".join(f"{col} string" for col in rules)) for name, rules in L.STORED_ENUMS.items()}
+    got = {tuple(r) for r in L.stored_violations(tables).collect()}
+    assert got == {(name, "bad", col, "?") for name, rules in L.STORED_ENUMS.items() for col in rules}
