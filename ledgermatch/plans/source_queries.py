@@ -441,6 +441,16 @@ def _(m):
     return overlapping_regions(regions).select("id_a", "id_b", F.round("iou", 4).alias("iou"))
 
 
+@query("overlapping_region_measures", """SELECT id_a, id_b, bx >= ax AND by_ >= ay AND bx + bw <= ax + aw AND by_ + bh <= ay + ah AS a_contains_b,
+    ax >= bx AND ay >= by_ AND ax + aw <= bx + bw AND ay + ah <= by_ + bh AS b_contains_a, round(o, 6) AS area,
+    round(ax + aw / 2, 6) AS center_x, round(ay + ah / 2, 6) AS center_y FROM {shared_area}""")
+def _(m):
+    regions = m.entities.select("id", "source_document_id", "page_number", geometry.box(
+        c("box_x"), c("box_y"), c("box_w"), c("box_h")).alias("bbox"))
+    return overlapping_regions(regions).select("id_a", "id_b", "a_contains_b", "b_contains_a", F.round("area", 6).alias("area"),
+                                               F.round("center_a.x", 6).alias("center_x"), F.round("center_a.y", 6).alias("center_y"))
+
+
 # ---- documents ----------------------------------------------------------------------------------
 def _uploads(m):
     names = F.element_at(F.array(*(F.lit(x) for x in (".CSV", ".xlsx", ".ofx", ".pdf", ".txt", ".xls", ".dat"))), (c("doc_id") % 7 + 1).cast("int"))

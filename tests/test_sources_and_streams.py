@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators import keys as K
@@ -186,3 +187,41 @@ def test_date_keys_cover_every_pair_once(spark):
     want = sorted((i, j) for i, x in enumerate(days) for j, y in enumerate(days)
                   if x is None or y is None or 0 <= (y - x).days <= 14)
     assert got == want
+
+
+def _random_boxes(rng, n, largest):
+    rows = []
+    for i in range(n):
+        w, h = (rng.choice([0.0, rng.random() * largest, rng.random() * largest]) for _ in range(2))
+        x, y = (0.0, 0.0) if rng.random() < 0.1 else (rng.random() * 0.3, rng.random() * 0.9)
+        rows.append((f"d{i % 2}", 1, f"r{i:04d}", (x, y, w, h)))
+    return rows
+
+
+@pytest.mark.parametrize("crowded,largest", [(4, 0.05), (4, 0.6), (1000, 0.1)])
+def test_overlapping_regions_equal_brute_force(spark, monkeypatch, crowded, largest):
+    import random
+
+    from ledgermatch.operators import regions as RG
+    monkeypatch.setattr(RG, "CROWDED", crowded)
+    rows = _random_boxes(random.Random(crowded), 220, largest)
+    frame = spark.createDataFrame(rows, "source_document_id string, page_number int, id string, bbox struct<x: double, y: double, width: double, height: double>")
+    want = set()
+    for i, (d, _, a, p) in enumerate(rows):
+        for e, _, b, q in rows[i + 1:]:
+            if d == e and p[0] < q[0] + q[2] and p[0] + p[2] > q[0] and p[1] < q[1] + q[3] and p[1] + p[3] > q[1]:
+                inside = lambda u, v: v[0] >= u[0] and v[1] >= u[1] and v[0] + v[2] <= u[0] + u[2] and v[1] + v[3] <= u[1] + u[3]
+                o = max(0.0, min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0])) * max(0.0, min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1]))
+                want.add((a, b, inside(p, q), inside(q, p), round(o, 12), round(p[0] + p[2] / 2, 12)))
+    got = [(r["id_a"], r["id_b"], r["a_contains_b"], r["b_contains_a"], round(r["area"], 12), round(r["center_a"]["x"], 12)) for r in RG.overlapping_regions(frame).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+
+
+def test_a_page_of_a_hundred_thousand_boxes(spark):
+    from ledgermatch.operators.regions import overlapping_regions
+    side = 320  # small boxes on a lattice, each over the next one's edge, all in a hundredth of the page
+    step = 0.1 / side
+    boxes = spark.range(side * side).select(
+        F.lit("d").alias("source_document_id"), F.lit(1).alias("page_number"), F.format_string("r%06d", "id").alias("id"),
+        F.struct(((c("id") % side) * step).alias("x"), (F.floor(c("id") / side) * step).alias("y"), F.lit(step * 1.25).alias("width"), F.lit(step * 0.75).alias("height")).alias("bbox"))
+    assert overlapping_regions(boxes).count() == side * (side - 1)
