@@ -13,7 +13,7 @@ from ledgermatch.operators.candidates import member_rows
 from ledgermatch.plans.close import close_periods
 from ledgermatch.plans.link import link_book
 from ledgermatch.plans.registry import SHARED_SQL, query
-from ledgermatch.session import scratch_path
+from ledgermatch.session import materialise, scratch_path
 from ledgermatch.sources.sinks import persist_findings, persist_groups
 
 c = F.col
@@ -255,6 +255,16 @@ def _(m):
     return visible.join(per_book, "client_book_id").select("user_id", "client_book_id", "entities")
 
 
+@query("tenant_scope_rows", """SELECT e.id, e.client_book_id FROM {entities} e WHERE e.client_book_id IN (
+    SELECT b.id FROM {users} u JOIN {books} b ON b.firm_id = u.firm_id
+    LEFT JOIN {assignments} a ON a.user_id = u.id AND a.client_book_id = b.id
+    WHERE u.id IN ('u2', 'u3', 'u9') AND (u.role = 'firm_admin' OR a.user_id IS NOT NULL))""")
+def _(m):
+    stored = L.store_by_book(m.entities.select("id", "client_book_id"), scratch_path(m.spark))
+    visible = materialise(L.visible_books(m.users, m.books, m.assignments))
+    return L.tenant_scope(stored, visible, ["u2", "u3", "u9"]).select("id", "client_book_id")
+
+
 @query("exclude_void", "SELECT id FROM {entities} WHERE entity_subtype IS DISTINCT FROM 'void'")
 def _(m):
     from ledgermatch.operators.passes import exclude_void

@@ -129,3 +129,16 @@ def test_codes_outside_the_lists_are_found_in_every_table(spark):
                                           "id string, " + ", ".join(f"{col} string" for col in rules)) for name, rules in L.STORED_ENUMS.items()}
     got = {tuple(r) for r in L.stored_violations(tables).collect()}
     assert got == {(name, "bad", col, "?") for name, rules in L.STORED_ENUMS.items() for col in rules}
+
+
+def test_scope_of_a_user_is_a_partition_filter(spark, tmp_path):
+    from ledgermatch.operators import lists as L
+    rows = spark.range(4000).select("id", F.concat(F.lit("b"), (F.col("id") % 200).cast("string")).alias("client_book_id"))
+    stored = L.store_by_book(rows, str(tmp_path / "stored"))
+    visible = spark.createDataFrame([("u1", "b7"), ("u1", "b8"), ("u2", "b9")], "user_id string, client_book_id string")
+    visible.write.parquet(str(tmp_path / "visible"))
+    scope = L.tenant_scope(stored, spark.read.parquet(str(tmp_path / "visible")), ["u1"])
+    assert {r["client_book_id"] for r in scope.collect()} == {"b7", "b8"} and scope.count() == 40
+    assert "dynamicpruning" in scope._jdf.queryExecution().executedPlan().toString()
+    plain = L.tenant_scope(rows, visible, ["u2"])
+    assert plain.count() == 20 and "dynamicpruning" not in plain._jdf.queryExecution().executedPlan().toString()
