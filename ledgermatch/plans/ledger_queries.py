@@ -418,13 +418,15 @@ def _(m):
         "id", "client_book_id", "invoice_entity_id", "bank_entity_id", "gl_entity_id")
 
 
-@query("group_scope", """SELECT m.reconciliation_group_id, CASE WHEN bool_or(a.account_code IS NOT NULL
-        OR e.gl_account_code ILIKE '%checking%' OR e.gl_account_code ILIKE '%cash%'
-        OR e.gl_account_code ILIKE '%receivable%') THEN 'ar' ELSE 'ap' END AS group_scope
-    FROM {members} m JOIN {entities} e ON e.id = m.extracted_entity_id
-    LEFT JOIN {accounts} a ON a.client_book_id = e.client_book_id AND a.account_type IN ('asset', 'revenue')
-     AND (a.account_code = e.gl_account_code OR a.account_name = e.gl_account_code)
-    WHERE m.role = 'gl' GROUP BY m.reconciliation_group_id""")
+SHARED_SQL["receivable_keys"] = """SELECT client_book_id, account_code AS account_key FROM {accounts} WHERE account_type IN ('asset', 'revenue')
+    UNION SELECT client_book_id, account_name FROM {accounts} WHERE account_type IN ('asset', 'revenue')"""
+
+
+@query("group_scope", """SELECT reconciliation_group_id, CASE WHEN count(account_key) + count_if(spoken) > 0 THEN 'ar' ELSE 'ap' END AS group_scope
+    FROM (SELECT m.reconciliation_group_id, k.account_key, regexp_matches(lower(e.gl_account_code), 'checking|cash|receivable') AS spoken
+          FROM {members} m JOIN {entities} e ON e.id = m.extracted_entity_id
+          LEFT JOIN {receivable_keys} k ON k.client_book_id = e.client_book_id AND k.account_key = e.gl_account_code
+          WHERE m.role = 'gl') t GROUP BY reconciliation_group_id""")
 def _(m):
     return L.group_scope(m.members, m.entities, m.accounts)
 
@@ -501,14 +503,14 @@ def _(m):
     return PD.overlapping_periods(m.periods.select(cols).unionByName(quarters.select(cols)))
 
 
-SHARED_SQL["balances"] = """SELECT *, CASE WHEN debits_cents IS NULL AND credits_cents IS NULL THEN NULL
-        ELSE coalesce(debits_cents = credits_cents, false) END AS is_balanced
-    FROM (SELECT p.client_book_id, p.id AS period_id,
-        CAST(nullif(sum(e.amount_cents) FILTER (WHERE debit_or_credit = 'debit'), 0) AS BIGINT) AS debits_cents,
-        CAST(nullif(sum(e.amount_cents) FILTER (WHERE debit_or_credit = 'credit'), 0) AS BIGINT) AS credits_cents
-      FROM {periods} p LEFT JOIN {entities} e ON e.client_book_id = p.client_book_id AND e.entity_type = 'gl_entry'
-       AND e.entity_subtype IS DISTINCT FROM 'void' AND e.transaction_date BETWEEN p.period_start AND p.period_end
-      GROUP BY p.client_book_id, p.id) t"""
+SHARED_SQL["sides"] = """SELECT p.id AS period_id, e.debit_or_credit AS side, e.amount_cents AS cents
+    FROM {entities} e JOIN {periods} p ON p.client_book_id = e.client_book_id AND e.transaction_date BETWEEN p.period_start AND p.period_end
+    WHERE e.entity_type = 'gl_entry' AND coalesce(e.entity_subtype, '') <> 'void'"""
+SHARED_SQL["balances"] = """SELECT client_book_id, id AS period_id, debits_cents, credits_cents,
+      CASE WHEN coalesce(debits_cents, credits_cents) IS NOT NULL THEN debits_cents IS NOT DISTINCT FROM credits_cents END AS is_balanced
+    FROM {periods} LEFT JOIN (
+      SELECT period_id, nullif(CAST(debit AS BIGINT), 0) AS debits_cents, nullif(CAST(credit AS BIGINT), 0) AS credits_cents
+      FROM (PIVOT {sides} ON side IN ('debit', 'credit') USING sum(cents) GROUP BY period_id)) t ON period_id = id"""
 
 
 @query("trial_balance", "SELECT * FROM {balances}")
