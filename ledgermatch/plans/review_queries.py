@@ -163,3 +163,17 @@ def _(m):
     from ledgermatch.plans.planted import plant_discrepancies
     planted = plant_discrepancies(m.sales.select(c("book").alias("client_book_id"), "k", "tol", "cents"))
     return planted.groupBy("client_book_id", "kind").agg(F.count("*").alias("n"), F.sum(F.abs(F.abs("bank_cents") - c("gl_cents"))).alias("gap_cents"))
+
+
+@query("planted_severities_found", """SELECT book AS client_book_id, kind, CASE WHEN gap <= tol THEN 'info' WHEN gap <= 10 * tol THEN 'low' WHEN gap <= 100 * tol THEN 'medium' ELSE 'high' END AS severity,
+    count(*) AS groups FROM (SELECT book, tol, CASE WHEN k % 7 < 3 THEN 'exact' WHEN k % 7 < 5 THEN 'within' ELSE 'high' END AS kind,
+      CASE WHEN k % 7 < 3 THEN 0 WHEN k % 7 < 5 THEN tol ELSE 101 * tol END AS gap FROM {sales}) t GROUP BY ALL""")
+def _(m):
+    """R12 through the verifier: every planted pair as a group of two legs, judged like any other."""
+    from ledgermatch.operators import verify
+    from ledgermatch.plans.planted import plant_discrepancies
+    planted = plant_discrepancies(m.sales.select(c("book").alias("client_book_id"), "k", "tol", "cents"))
+    legs = F.explode(F.array(F.struct(F.lit("bank").alias("role"), c("bank_cents").alias("amount_cents")), F.struct(F.lit("gl").alias("role"), c("gl_cents").alias("amount_cents"))))
+    rows = planted.select("client_book_id", F.concat_ws(":", "kind", "k").alias("reconciliation_group_id"), c("tol").alias("tolerance_cents"), legs.alias("leg"))
+    found = verify.evaluate_groups(verify.group_leg_totals(rows.select("client_book_id", "reconciliation_group_id", "tolerance_cents", "leg.*")))
+    return found.groupBy("client_book_id", F.substring_index("reconciliation_group_id", ":", 1).alias("kind"), "severity").agg(F.count("*").alias("groups"))
