@@ -9,7 +9,7 @@ r"""Line dedup with a log-template tree of fixed depth. DataFrame functions only
 4. A template recurs if enough (document, line) pairs have it and at least ``SIMILAR`` percent of its
    tokens are constant. Lines of recurring templates are dropped from all documents.
 
-"Enough" is one document in ``SHARE``, and at least ``MIN_DOCS``; equal lines of a document count once.
+"Enough" is ``min_docs`` documents, whatever the size of the table; equal lines of a document count once.
 Copies of a line are counted before anything is shuffled by leaf or token, so a line that a third of all
 documents carry costs one row per task; only lines of busy leaves are ever cut into token rows, each
 different line once.
@@ -17,6 +17,7 @@ different line once.
 Defined results
 - One row per input row: doc_id, n_lines, n_dropped, and the text without the dropped lines; the other
   lines stay as they are, in order, joined by \n. A null text stays null (n_lines 0).
+- Very long texts are split into lines whole; an empty table gives an empty result.
 - Rows that repeat doc_id and text count as one document and get the same result.
 - Other columns of the input are ignored, whatever their names.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgermatch.llm.common import documents, materialise, row_key
 
 MIN_TOKENS, DEPTH, SIMILAR = 6, 3, 60
-SHARE, MIN_DOCS = 100_000, 10
+MIN_DOCS = 10
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -45,14 +46,12 @@ def _lines(docs: DataFrame) -> DataFrame:
             .selectExpr("key", "line", "masked", f"xxhash64(size, substring_index(masked, ' ', {DEPTH})) AS leaf", "xxhash64(masked) AS variant"))
 
 
-def dropped_lines(docs: DataFrame, share: int = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """key, line of every line with a recurring template."""
     lines = materialise(_lines(docs).select("key", "line", "leaf", "variant"))
-    n_docs = docs.select(row_key().alias("key")).distinct().count()
-    least = max(-(-n_docs // share), min_docs)
     carried = lines.select("key", "leaf", "variant").distinct()
     variants = materialise(carried.groupBy("leaf", "variant").agg(F.count("*").alias("n")))
-    busy = variants.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("leaf")
+    busy = variants.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     variants = materialise(variants.join(busy, "leaf"))
     # One copy of every different line of the busy leaves, cut into tokens.
     texts = (_lines(docs).join(variants.select("leaf", "variant"), ["leaf", "variant"], "left_semi")
@@ -60,7 +59,7 @@ def dropped_lines(docs: DataFrame, share: int = SHARE, min_docs: int = MIN_DOCS)
     tokens = materialise(texts.join(variants, ["leaf", "variant"])
                          .select("leaf", "variant", "n", F.posexplode(F.split("masked", " ")).alias("place", "token")))
     support = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support"))
-    constant = (F.col("support") >= least) & (F.col("token") != "<*>")
+    constant = (F.col("support") >= min_docs) & (F.col("token") != "<*>")
     templates = (tokens.join(support, ["leaf", "place", "token"])
                  .groupBy("leaf", "variant").agg(
                      F.max("n").alias("n"), F.count("*").alias("size"), F.count_if(constant).alias("constants"),
@@ -69,14 +68,14 @@ def dropped_lines(docs: DataFrame, share: int = SHARE, min_docs: int = MIN_DOCS)
                  .select("leaf", "variant", "n", F.xxhash64("size", "parts").alias("template")))
     templates = materialise(templates)
     recurring = (templates.groupBy("leaf", "template").agg(F.sum("n").alias("n"))
-                 .where(F.col("n") >= least).select("leaf", "template"))
+                 .where(F.col("n") >= min_docs).select("leaf", "template"))
     gone = templates.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "variant")
     return lines.join(gone, ["leaf", "variant"], "left_semi").select("key", "line")
 
 
-def dedup_lines(docs: DataFrame, share: int = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, text of every row of ``docs``."""
-    gone = (dropped_lines(docs, share, min_docs).distinct().groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("gone")))
+    gone = (dropped_lines(docs, min_docs).distinct().groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("gone")))
     # The texts are shuffled at every size: a broadcast of what goes would grow with the corpus.
     kept = docs.select("doc_id", row_key().alias("key"), "text").join(materialise(gone).hint("merge"), "key", "left")
     # The lines' places minus those that go; both lists are one document's.
@@ -99,7 +98,7 @@ l AS (SELECT doc_id, text, i - 1 AS line, list_transform(regexp_extract_all(s[i]
              lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
       FROM (SELECT *, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
 f AS (SELECT doc_id, text, line, m, len(m) AS size, m[1:3] AS lead FROM l WHERE len(m) >= 6),
-least AS (SELECT greatest(ceil(count(*) / 100000), 10) AS least FROM d),
+least AS (SELECT 10 AS least),
 v AS (SELECT size, lead, m, count(*) AS n FROM (SELECT DISTINCT doc_id, text, size, lead, m FROM f) GROUP BY ALL),
 b AS (SELECT * FROM v JOIN (SELECT size, lead FROM v, least GROUP BY ALL HAVING sum(n) >= any_value(least)) USING (size, lead)),
 t AS (SELECT size, lead, m, n, unnest(range(1, size + 1)) AS i FROM b),

@@ -206,3 +206,12 @@ def test_line_dedup_on_odd_input(spark):
     of = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in rows if r["doc_id"]}
     assert of[1] == (0, 0, None) and of[2] == (1, 0, "") and of[6] == of[7] == of[12] == (1, 1, "") and of[10] == (1, 0, "x")
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_a_template_recurs_at_the_same_number_in_any_table(spark):
+    rng = random.Random(12)
+    for size in (60, 1200):
+        rows = [(i, f"{prose(rng, 9)}\nshare this page with {i} of your friends now", "en", "s") for i in range(50)]
+        rows += [(100 + i, prose(rng, 12), "en", "s") for i in range(size)]
+        got = line_dedup.dedup_lines(texts_frame(spark, rows)).where("n_dropped > 0").collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(50)) and all("share" not in r["text"] for r in got)
