@@ -21,11 +21,11 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +36,7 @@ UNDETERMINED = "und"
 WINDOW, MARGIN = 768, 24      # bytes labelled per window, bytes of context on either side
 SIDE_BY_SIDE = 2048           # windows computed together
 TASK_BYTES = 4 << 20          # text bytes gathered before the windows are computed
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # as has_letter
 _SMALL = 1e-12
 
 
@@ -185,7 +185,7 @@ def label_positions(net: Network, windows: list[np.ndarray]) -> list[np.ndarray]
             block[row, :lengths[row]] = windows[i]
         block = np.ascontiguousarray(block.T)
         open_ = np.searchsorted(-lengths, -np.arange(longest), side="left")  # windows longer than t
-        logits = np.empty((longest, len(net.languages), n), "f4")
+        logits = np.zeros((longest, len(net.languages), n), "f4")
         hidden = net.left.by_state.shape[1]
         state = np.zeros((hidden, n), "f4")
         for t in range(longest):

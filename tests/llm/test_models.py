@@ -192,3 +192,10 @@ def test_language_model_on_odd_input(spark):
     nothing = lm_score.score_corpus(docs, F.lit(True)).collect()
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in nothing} == {(0, 0, 0.0)} and all(math.isfinite(r["score"]) for r in nothing)
     assert lm_score.score_corpus(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, f"wort{i} und satz", "de", "s") for i in range(8)] + [(50, "½ ² Ⅷ", "de", "s"), (51, "٣", None, "s"), (52, "é", None, "s")]
+    docs = texts_frame(spark, rows)
+    told = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs), into=("lang_pred", "score")).collect()}
+    assert told[50] == told[51] == langid.UNDETERMINED and told[52] == "de"
