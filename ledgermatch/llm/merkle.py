@@ -274,6 +274,7 @@ class Manifest:
 def manifest(docs: DataFrame, **carried: Column) -> Manifest:
     """The manifest of ``docs``; ``carried`` are further columns of its leaves."""
     leaves = docs.select("source", "doc_id", document_leaf().alias("node"), *(c.alias(name) for name, c in carried.items()))
+    leaves = materialise(leaves)  # dealing by ranges reads its input twice: the digests, not the texts
     tier, blocks = _trees(numbered(leaves, ["source"], ["doc_id", "node"]), ["source"])
     blocks = materialise(blocks)
     sources = numbered(blocks.where("position = 0").select("source", F.col("top").alias("node")), [], ["source"])
