@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators import keys as K
+from ledgermatch.plans import catalog
 from ledgermatch.sources import documents as D
 from ledgermatch.sources import ocr as O
 from ledgermatch.sources import sinks
@@ -178,6 +179,19 @@ def test_document_stream_drops_repeated_content(spark, tmp_path):
     assert {(r["client_book_id"], r["count"]) for r in spark.read.parquet(out).groupBy("client_book_id").count().collect()} == {("b1", 3), ("b2", 3)}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_streamed_tables_may_be_a_file_or_a_folder(spark, tmp_path, files):
+    rows = spark.createDataFrame([(i, f"text {i % 5}", "s") for i in range(12)], "doc_id long, text string, source string")
+    rows.repartition(files).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "t").mkdir()
+    if files > 1:
+        (tmp_path / "written").rename(tmp_path / "t" / "documents.parquet")
+    else:
+        next((tmp_path / "written").glob("part-*")).rename(tmp_path / "t" / "documents.parquet")
+    found = catalog.queries()["stream_documents"](spark, str(tmp_path / "t")).collect()
+    assert len(found) == 5 and {r["copies"] for r in found} == {1}
+
+
 def test_date_keys_cover_every_pair_once(spark):
     days = [None] + [dt.date(2026, 1, 1) + dt.timedelta(i) for i in range(0, 40, 3)]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "n int, d date")
