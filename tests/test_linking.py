@@ -231,6 +231,46 @@ def test_a_window_of_three_thousand_payments(spark):
     assert got == {(name, tuple(f"p{i:04d}" for i in places)) for name, places in planted.items()}
 
 
+def test_medium_anchors_with_many_targets_are_grown_without_pairs(spark, monkeypatch):
+    """36 members and 60 targets: every set, though the search by pairs gets no such anchor."""
+    monkeypatch.setattr(subset, "_sets_of_large", _large_of(subset._sets_of_large, seen := []))
+    monkeypatch.setattr(subset, "_GROWN", 1 << 12)
+    rng = random.Random(5)
+    members = [(1, 2, f"m{i:02d}", rng.choice([-1] * 9 + [1]) * rng.randint(10**5, 5 * 10**7), rng.choice([2, 2, 2, 3])) for i in range(36)]
+    targets = [(1, f"t{k}", rng.randint(10**5, 5 * 10**7)) for k in range(58)]
+    targets += [(1, "planted", -sum(m[3] for m in members[3:8])), (1, "no number", None)]
+    members[3] = (*members[3][:4], 3)
+    got = sorted((r["target"], tuple(r["ids"]), r["total"]) for r in subset.sets_to_targets(_members(spark, members), _targets(spark, targets)).collect())
+    amounts, marks, want = np.array([m[3] for m in members]), np.array([m[4] for m in members]), []
+    for size in range(2, 6):
+        combos = np.array(list(itertools.combinations(range(36), size)))
+        totals, marked = amounts[combos].sum(axis=1), np.bitwise_or.reduce(marks[combos], axis=1) == 3
+        want += [(t, tuple(members[i][2] for i in combos[k]), int(totals[k])) for _, t, x in targets if x is not None
+                 for k in np.flatnonzero(marked & (np.abs(np.abs(totals) - abs(x)) <= 2))]
+    assert got == sorted(want) and "planted" in {t for t, _, _ in want} and seen == [0]
+
+
+def _large_of(search, seen):
+    def counting(members, asked, largest):
+        seen.append(members.count())
+        return search(members, asked, largest)
+    return counting
+
+
+@pytest.mark.parametrize("medium", [0, 8, 1 << 7])
+def test_grown_and_searched_sets_are_the_same(spark, monkeypatch, medium):
+    monkeypatch.setattr(subset, "MEDIUM", medium)
+    monkeypatch.setattr(subset, "BLOCK", 7)
+    rng = random.Random(3)
+    members = [(a, 2, f"m{i:02d}", rng.randint(-20, 40), rng.choice([1, 2, 3, 3])) for a in range(4) for i in range(5 + 2 * a)]
+    targets = [(a, f"t{k}", rng.randint(-50, 90)) for a in range(4) for k in range(3)]
+    got = sorted((r["anchor"], r["target"], tuple(r["ids"]), r["total"]) for r in subset.sets_to_targets(_members(spark, members), _targets(spark, targets)).collect())
+    want = sorted((a, t, tuple(m[2] for m in combo), sum(m[3] for m in combo)) for a, t, x in targets for size in range(2, 6)
+                  for combo in itertools.combinations([m for m in members if m[0] == a], size)
+                  if any(m[4] & 1 for m in combo) and any(m[4] & 2 for m in combo) and abs(abs(sum(m[3] for m in combo)) - abs(x)) <= 2)
+    assert got == want and want
+
+
 def test_a_couple_of_blocks_never_holds_its_products():
     rng = np.random.default_rng(1)
     amounts = rng.integers(10**9, 10**12, 400)
