@@ -201,8 +201,8 @@ def _(m):
     WHERE reconciliation_group_id IN (SELECT reconciliation_group_id FROM {leg_totals} WHERE has_bank AND has_gl)""")
 def _(m):
     ids = [F.collect_list(F.when(c("role") == r, c("extracted_entity_id"))).alias(f"{r}_ids") for r in ("invoice", "bank", "gl")]
-    groups = (m.members.groupBy(c("reconciliation_group_id").alias("id")).agg(*ids)
-              .join(m.groups.select("id", "client_book_id", "link_confidence", "status"), "id"))
+    groups = materialise(m.members.groupBy(c("reconciliation_group_id").alias("id")).agg(*ids)
+                         .join(m.groups.select("id", "client_book_id", "link_confidence", "status"), "id"))
     heads, rows = scratch_path(m.spark), scratch_path(m.spark)
     half = groups.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
     persist_groups(half, heads, rows)

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators import keys as K
-from ledgermatch.plans import catalog
+from ledgermatch.plans import catalog, ledger_queries, registry
 from ledgermatch.sources import documents as D
 from ledgermatch.sources import ocr as O
 from ledgermatch.sources import sinks
@@ -192,6 +193,18 @@ def test_streamed_tables_may_be_a_file_or_a_folder(spark, tmp_path, files):
     assert len(found) == 5 and {r["copies"] for r in found} == {1}
 
 
+def test_groups_are_built_once_for_all_writes(spark, monkeypatch):
+    members = [(f"g{k}", f"{role[0]}{k}", role) for k in range(4) for role in ("invoice", "bank", "gl") if (k, role) != (3, "gl")]
+    model = SimpleNamespace(
+        spark=spark, members=spark.createDataFrame(members, "reconciliation_group_id string, extracted_entity_id string, role string"),
+        groups=spark.createDataFrame([(f"g{k}", "b", 0.9, "confirmed") for k in range(4)], "id string, client_book_id string, link_confidence double, status string"))
+    written, store = [], ledger_queries.persist_groups
+    monkeypatch.setattr(ledger_queries, "persist_groups", lambda groups, *paths: (written.append(groups.inputFiles()), store(groups, *paths)))
+    got = registry._QUERIES["persist_groups"](model).collect()
+    assert sorted(tuple(r) for r in got) == sorted(m for m in members if m[0] != "g3")
+    assert len(written) == 3 and all(written)  # all three read the written groups
+
+
 def test_date_keys_cover_every_pair_once(spark):
     days = [None] + [dt.date(2026, 1, 1) + dt.timedelta(i) for i in range(0, 40, 3)]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "n int, d date")
