@@ -101,8 +101,8 @@ def _findings(m):
     return V.evaluate_groups(V.group_leg_totals(_rows(m)), rule=RULE).join(m.finding_lifecycle, "reconciliation_group_id")
 
 
-def _reports(m):
-    return R.monthly_reports(_findings(m), m.members, m.entities, m.periods)
+def _reports(m, findings=None):
+    return R.monthly_reports(_findings(m) if findings is None else findings, m.members, m.entities, m.periods)
 
 
 # ---- the whole chain ----------------------------------------------------------------------------
@@ -453,8 +453,9 @@ def _(m):
 @query("report_citations", """SELECT reconciliation_group_id, source_document_id FROM {citations} WHERE reconciliation_group_id IN (
     SELECT unnest(finding_ids) FROM {reports} WHERE period_start >= DATE '1999-01-01')""")
 def _(m):
-    reports = _reports(m).filter("period_start >= date '1999-01-01'")
-    return R.report_members(reports, R.finding_citation(_findings(m), m.members, m.entities)).select(
+    findings = materialise(_findings(m))
+    reports = _reports(m, findings).filter("period_start >= date '1999-01-01'")
+    return R.report_members(reports, R.finding_citation(findings, m.members, m.entities)).select(
         "reconciliation_group_id", "source_document_id")
 
 

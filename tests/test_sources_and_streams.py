@@ -205,6 +205,15 @@ def test_groups_are_built_once_for_all_writes(spark, monkeypatch):
     assert len(written) == 3 and all(written)  # all three read the written groups
 
 
+def test_reports_and_citations_share_the_findings(spark, monkeypatch):
+    calls, found = [], spark.createDataFrame([("g1",)], "reconciliation_group_id string")
+    monkeypatch.setattr(ledger_queries, "_findings", lambda m: calls.append(m) or found)
+    monkeypatch.setattr(ledger_queries.R, "monthly_reports", lambda findings, *_: findings.withColumn("period_start", F.lit("1999-02-01").cast("date")))
+    monkeypatch.setattr(ledger_queries.R, "finding_citation", lambda findings, *_: findings.withColumn("source_document_id", F.lit("d")))
+    model = SimpleNamespace(members=None, entities=None, periods=None)
+    assert [tuple(r) for r in registry._QUERIES["report_citations"](model).collect()] == [("g1", "d")] and len(calls) == 1
+
+
 def test_date_keys_cover_every_pair_once(spark):
     days = [None] + [dt.date(2026, 1, 1) + dt.timedelta(i) for i in range(0, 40, 3)]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "n int, d date")
