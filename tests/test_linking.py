@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgermatch.functions.names import jaro_winkler
 from ledgermatch.operators import candidates as C
+from ledgermatch.operators import keys as K
 from ledgermatch.operators import passes as P
 from ledgermatch.operators import subset
 from ledgermatch.operators.subset import combinations_near_dates, combinations_to_target
@@ -293,3 +294,36 @@ def test_one_long_name_costs_its_own_pair_only():
     begin = time.time()
     assert jaro_winkler([*names, "ab" * 1500], [*names, "ab" * 1499])[-1] > 0.99
     assert time.time() - begin < 5
+
+
+def test_unequal_pairs_equal_brute_force_and_few_rows_are_dealt(spark):
+    """A payment is dealt once per similar name that ledger entries have, not nine times per similar name."""
+    rng = random.Random(5)
+    names = ["acme supplies", "acme supplies.", "acme supplies inc", "bolt", None, ""]
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(0, 40, 3)] + [None]
+
+    def rows(kind, n):
+        return [(rng.choice("ab"), 100, f"{kind}{i}", rng.choice([0, 90, 100, 210, 400, -800, 1500, 70_000, 100_000]), rng.choice(days), rng.choice(names))
+                for i in range(n)]
+
+    banks, gls = rows("k", 60), rows("g", 60)
+    gls[0] = ("b", 100, "g0", 400, dt.date(2026, 1, 1), "bolt")
+    gls = [g if g[0] == "a" or g[4] else (*g[:4], dt.date(2026, 1, 4), g[5]) for g in gls]  # no undated entry in book b
+    frame = lambda x: spark.createDataFrame(x, "client_book_id string, tol long, id string, amount long, date date, name string")
+    known = [n for n in names if n]
+    alike = [(b, x, y) for b in "ab" for x in known for y in known if jaro_winkler(x, y) >= 0.9]
+    pairs = spark.createDataFrame(alike, "client_book_id string, name_a string, name_b string")
+    want = sorted((k[2], g[2]) for k in banks for g in gls if k[0] == g[0] and k[3] and g[3] and abs(abs(k[3]) - abs(g[3])) > 100
+                  and (not k[4] or not g[4] or 0 <= (g[4] - k[4]).days <= 14)
+                  and (k[5] is None or g[5] is None or (k[0], k[5], g[5]) in alike)
+                  and 2 * abs(abs(k[3]) - abs(g[3])) <= max(abs(k[3]), abs(g[3])))
+    found = P.unequal_pairs(P.Legs(None, frame(banks), frame(gls)), pairs)
+    assert sorted((r["bank_id"], r["gl_id"]) for r in found.select("bank_id", "gl_id").collect()) == want
+    wide = (dt.date(2026, 1, 1), dt.date(2026, 2, 28))
+    day = spark.createDataFrame([(wide[0] + dt.timedelta(days=i),) for i in range(58)] + [(None,)], "d date")
+    met = (day.select(F.col("d").alias("x"), F.explode(K.later_date_keys(F.col("d"))).alias("w"))
+           .join(day.select(F.col("d").alias("y"), F.explode(K.preceding_date_keys(F.col("d"))).alias("w")), "w").groupBy("x", "y").count())
+    times = {(r["x"], r["y"]): r["count"] for r in met.collect()}
+    everyone = [wide[0] + dt.timedelta(days=i) for i in range(58)] + [None]
+    assert all(times.get((x, y)) == 1 for x in everyone for y in everyone if not x or not y or 0 <= (y - x).days <= 14)
+    assert set(times.values()) == {1}
