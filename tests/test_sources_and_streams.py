@@ -155,6 +155,26 @@ def test_repeats_get_the_stored_answer_for_a_day(spark, tmp_path):
                    7: ("seven", False), 8: ("seven", True), 9: ("nine", False)}
 
 
+@pytest.mark.parametrize("buckets", [1, 16_384])
+def test_keys_of_one_bucket_are_answered_each_for_itself(spark, tmp_path, monkeypatch, buckets):
+    """Missing times come last, a key that is forgotten leaves the others of its bucket alone."""
+    monkeypatch.setattr(J, "KEY_BUCKETS", buckets)
+    hour = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    schema = "request_id long, user_id long, key string, ts timestamp, response string"
+    batches = [[(3, 2, "k", hour(5), None), (1, 1, "k", hour(2), "b"), (2, 1, "k", hour(2), "c"), (4, 1, "k", hour(1), "a"), (5, 3, "k", hour(40), "d")],
+               [(6, 2, "k", hour(28), "e"), (7, 1, "k", hour(26), "f"), (8, 4, "k", hour(90), "g")],
+               [(9, 3, "k", hour(63), "h"), (10, 4, "k", hour(91), "i")], [(11, 1, "k", hour(92), "j"), (12, 4, "k", hour(113), "k")]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        J.start(J.answered_requests(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out),
+                str(tmp_path / "cp"), once=True).awaitTermination()
+    got = {r["request_id"]: (r["response"], r["replayed"]) for r in spark.read.parquet(out).collect()}
+    late = got.pop(9, None)  # behind the watermark by then: dropped
+    assert late is None and got == {4: ("a", False), 1: ("a", True), 2: ("a", True), 3: (None, False), 5: ("d", False), 6: (None, True), 7: ("f", False),
+                                    8: ("g", False), 10: ("g", True), 11: ("j", False), 12: ("g", True)}
+
+
 def test_a_subscription_is_switched_off_once(spark, tmp_path):
     at = dt.datetime(2026, 1, 1)
     schema = "subscription_id string, at timestamp, delivery_id long, failed boolean"
