@@ -102,7 +102,8 @@ def suggest_column_map(headers: DataFrame) -> DataFrame:
     words = [(t, t.replace("_", ""), False) for t in ALIASES] + [(t, a, True) for t, known in ALIASES.items() for a in known]
     known = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.lit(w).alias("word"), F.lit(p).alias("partial"))
                                 for t, w, p in words)))
-    normal = headers.withColumn("n", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", ""))
+    # By document before the words multiply the rows: what a task sorts is its share of the documents, not of the files read.
+    normal = headers.repartition("document_id").withColumn("n", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", ""))
     tried = normal.select("*", known.alias("k")).select("*", "k.*")
     hit = (c("n") == c("word")) | (c("partial") & (c("n").contains(c("word")) | c("word").contains(c("n"))))
     regular = tried.filter(hit).select("document_id", "target", "position", "name", F.lit(0).alias("rank"))

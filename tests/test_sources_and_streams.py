@@ -281,3 +281,10 @@ def test_a_page_of_a_hundred_thousand_boxes(spark):
         F.lit("d").alias("source_document_id"), F.lit(1).alias("page_number"), F.format_string("r%06d", "id").alias("id"),
         F.struct(((c("id") % side) * step).alias("x"), (F.floor(c("id") / side) * step).alias("y"), F.lit(step * 1.25).alias("width"), F.lit(step * 0.75).alias("height")).alias("bbox"))
     assert overlapping_regions(boxes).count() == side * (side - 1)
+
+
+def test_header_words_multiply_after_the_documents_are_dealt(spark):
+    """Else a task sorts whatever the files that it reads hold, thirty rows a header."""
+    headers = spark.range(20).select(c("id").cast("string").alias("document_id"), F.lit(0).alias("position"), F.lit("Payee").alias("name"))
+    plan = D.suggest_column_map(headers)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange hashpartitioning(document_id") > plan.rindex("Generate explode")
