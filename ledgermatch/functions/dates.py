@@ -46,10 +46,13 @@ def _first(text: Column, layouts) -> Column:
 
 def date_structured(text: Column) -> Column:
     """Quotes are trimmed and a timestamp of 14 or more digits is cut to its day."""
+    def once(value: Column, use) -> Column:
+        """``use`` of a value that is computed once, however often it occurs in there."""
+        return F.transform(F.array(value), use)[0]
+
     t = F.regexp_replace(strip(text), r"^\"+|\"+$", "")
     t = F.regexp_replace(t, r"^'+|'+$", "")
-    t = F.when(t.rlike(r"^\d{14,}$"), F.substring(t, 1, 8)).otherwise(t)
-    return _first(t, STRUCTURED)
+    return once(t, lambda t: once(F.when(t.rlike(r"^\d{14,}$"), F.substring(t, 1, 8)).otherwise(t), lambda day: _first(day, STRUCTURED)))
 
 
 def date_verbatim(text: Column) -> Column:

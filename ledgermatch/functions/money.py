@@ -22,7 +22,7 @@ def amount_structured(text: Column) -> Column:
     """CSV, sheet and statement amounts (N1): "100" is 100 currency units, parentheses do not negate,
     a sign inside the number makes it unreadable (null)."""
     kept = F.regexp_replace(text, r"[^0-9.+\-]", "")
-    return F.when(kept.rlike(_NUMBER), _cents(F.when(kept.rlike(_NUMBER), kept)))
+    return _cents(F.when(kept.rlike(_NUMBER), kept))
 
 
 def _verbatim_magnitude(text: Column) -> Column:

@@ -42,40 +42,61 @@ def csv_header(content: Column) -> Column:
     return csv_fields(F.regexp_extract(content.cast("string"), _RECORD, 0))
 
 
-def csv_rows(documents: DataFrame) -> DataFrame:
-    """One row per record: header and values as arrays, row_no from 1. Ragged records are kept."""
+def _split(documents: DataFrame) -> DataFrame:
+    """The documents with their records and the header's fields instead of the content."""
     records = F.regexp_extract_all(c("content").cast("string"), F.lit(_RECORD), F.lit(0))
-    split = (documents.withColumn("_records", records).drop("content")
-             .withColumn("header", csv_fields(F.try_element_at("_records", F.lit(1)))))
+    return (documents.withColumn("_records", records).drop("content")
+            .withColumn("header", csv_fields(F.try_element_at("_records", F.lit(1)))))
+
+
+def _exploded(split: DataFrame) -> DataFrame:
     rows = split.select("*", F.posexplode("_records").alias("row_no", "_record")).drop("_records")
     return rows.filter(c("row_no") > 0).withColumn("values", csv_fields(c("_record"))).drop("_record")
 
 
-def value_of(name: Column, fold_case: bool = False) -> Column:
-    """Value under a header name (the last column of that name), null if absent or the row is short."""
+def csv_rows(documents: DataFrame) -> DataFrame:
+    """One row per record: header and values as arrays, row_no from 1. Ragged records are kept."""
+    return _exploded(_split(documents))
+
+
+def _place(name: Column, fold_case: bool = False) -> Column:
+    """Number of the last column of that name; one beyond the header if there is none."""
     header = F.transform("header", F.lower) if fold_case else c("header")
     wanted = F.lower(name) if fold_case else name
-    place = F.array_position(F.reverse(header), wanted)
-    return F.try_element_at(c("values"), (F.size("header") - place + 1).cast("int"))
+    return (F.size("header") - F.array_position(F.reverse(header), wanted) + 1).cast("int")
+
+
+def value_of(name: Column, fold_case: bool = False) -> Column:
+    """Value under a header name (the last column of that name), null if absent or the row is short."""
+    return F.try_element_at(c("values"), _place(name, fold_case))
 
 
-def mapped(target: str) -> Column:
-    """Value of a target field through the document's column map."""
-    return value_of(F.try_element_at("column_map", F.lit(target)))
+_MAPPED = ("amount", "currency", "date", "counterparty", "description", "account_code", "account", "transaction_ref")
 
 
 def csv_entities(documents: DataFrame) -> DataFrame:
-    """CSV documents with their chosen ``column_map`` to entities, before pair folding."""
-    rows = csv_rows(documents)
-    amount = money.resolve_debit_credit(mapped("amount"), [value_of(F.lit(s)) for s in SIDES])
+    """CSV documents with their chosen ``column_map`` to entities, before pair folding (S1). The columns' places are
+    looked up once a document (N9), the texts that several tests read are columns of their own."""
+    places = [_place(F.try_element_at("column_map", F.lit(t))).alias(f"to_{t}") for t in _MAPPED]
+    places += [_place(F.lit(n)).alias(f"of_{i}") for i, n in enumerate((*SIDES, "Num", "Ref"))]
+    values = _exploded(_split(documents).withColumn("_at", F.struct(*places)))
+
+    def mapped(target: str) -> Column:
+        return F.try_element_at("values", c("_at")[f"to_{target}"])
+
+    def own(number: int) -> Column:
+        return F.try_element_at("values", c("_at")[f"of_{number}"])
+
+    amount = money.resolve_debit_credit(mapped("amount"), [own(i) for i in range(len(SIDES))])
+    rows = values.withColumn("_amount", amount)
     return rows.select(
         "document_id", "client_book_id", "row_no", text.entity_type(c("doc_type")).alias("entity_type"),
-        F.coalesce(money.amount_structured(amount), F.lit(0).cast("long")).alias("amount_cents"),
+        F.coalesce(money.amount_structured(c("_amount")), F.lit(0).cast("long")).alias("amount_cents"),
         F.coalesce(mapped("currency"), F.lit("USD")).alias("currency"),
         dates.date_structured(mapped("date")).alias("transaction_date"),
         mapped("counterparty").alias("counterparty"), mapped("description").alias("description"),
         F.coalesce(mapped("account_code"), mapped("account")).alias("gl_account_code"),
-        text.transaction_ref(mapped("transaction_ref"), value_of(F.lit("Num")), value_of(F.lit("Ref"))).alias("transaction_ref"),
+        text.transaction_ref(mapped("transaction_ref"), own(len(SIDES)), own(len(SIDES) + 1)).alias("transaction_ref"),
         F.lit(1).alias("page_number"), F.lit(1.0).alias("extraction_confidence"),
         F.lit("structured").alias("source_format"))
 

@@ -288,3 +288,11 @@ def test_header_words_multiply_after_the_documents_are_dealt(spark):
     headers = spark.range(20).select(c("id").cast("string").alias("document_id"), F.lit(0).alias("position"), F.lit("Payee").alias("name"))
     plan = D.suggest_column_map(headers)._jdf.queryExecution().sparkPlan().toString()
     assert plan.rindex("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange hashpartitioning(document_id") > plan.rindex("Generate explode")
+
+
+def test_column_places_are_found_once_a_document(spark):
+    """The header is not searched again for a record; the date's text is cleaned once."""
+    plan = S.csv_entities(documents(spark, QUICKBOOKS))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate "):]
+    assert below.count("array_position") == plan.count("array_position") > 0
+    assert plan.count('^"+|"+$, ') <= 1
