@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.session import materialise
 from ledgermatch.sources import documents as D
 from ledgermatch.sources import ocr as O
 from ledgermatch.sources import structured as S
@@ -19,8 +20,8 @@ COLUMNS = ["document_id", "client_book_id", "row_no", "entity_type", "amount_cen
 
 def accepted_documents(files: DataFrame, cap: int | None = D.UPLOAD_CAP) -> DataFrame:
     """Registered files, the first of equal ones per book, with their format. Only ids and hashes are shuffled
-    to find the copies."""
-    accepted = D.register_documents(files, cap)
+    to find the copies. The accepted files are written once: two passes read them."""
+    accepted = materialise(D.register_documents(files, cap))
     first = D.dedupe_documents_by_hash(accepted).select("client_book_id", "document_id")
     return (accepted.join(first, ["client_book_id", "document_id"], "left_semi")
             .withColumn("format", D.route_format(c("path"), c("content"))))
@@ -34,7 +35,7 @@ def ingest_documents(files: DataFrame, maps: DataFrame, cells: DataFrame | None
     ``choose_column_map`` (books without maps are read with an empty one); ``cells`` and ``pages``: what sheet
     and OCR readers made of the files routed to them, by document_id.
     """
-    docs = accepted_documents(files, cap)
+    docs = materialise(accepted_documents(files, cap))  # read by every format, ledger exports twice
 
     def routed(name: str) -> DataFrame:
         return docs.filter(c("format") == name)

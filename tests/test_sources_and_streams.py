@@ -296,3 +296,14 @@ def test_column_places_are_found_once_a_document(spark):
     below = plan[plan.index("Generate "):]
     assert below.count("array_position") == plan.count("array_position") > 0
     assert plan.count('^"+|"+$, ') <= 1
+
+
+def test_uploads_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "files")
+    (spark.createDataFrame([("d1", "b", "x.csv", QUICKBOOKS)], "document_id string, client_book_id string, path string, content string")
+     .withColumns({"length": F.length("content"), "uploaded_at": F.lit(1), "deleted": F.lit(False)}).write.parquet(path))
+    maps = spark.createDataFrame([(1, "b", MAP, 1)], "map_id int, client_book_id string, column_map map<string,string>, created_at int")
+    from ledgermatch.plans.ingest import ingest_documents
+    rows = ingest_documents(spark.read.parquet(path), maps)
+    assert not [f for f in rows.inputFiles() if path in f]
+    assert sorted(r["amount_cents"] for r in rows.collect()) == [0, 25000, 150000]
