@@ -277,3 +277,22 @@ def test_a_template_recurs_at_the_same_number_in_any_table(spark):
         rows += [(100 + i, prose(rng, 12), "en", "s") for i in range(size)]
         got = line_dedup.dedup_lines(texts_frame(spark, rows)).where("n_dropped > 0").collect()
         assert sorted(r["doc_id"] for r in got) == list(range(50)) and all("share" not in r["text"] for r in got)
+
+
+def test_any_fifty_words_hold_a_chunk_that_is_cut_alike_everywhere():
+    """Also words of one letter, where a passage has 99 bytes and the hash alone often chose no two places."""
+    rng = np.random.default_rng(3)
+    for letters in ("0123456789", "ab", "abcdefghijklmnopqrstuvwxyz"):
+        for _ in range(300):
+            def words(n):
+                return " ".join(rng.choice(list(letters), n))
+            passage = words(50)
+            cuts = []
+            for _ in range(2):
+                head = words(int(rng.integers(0, 60)))
+                text = f"{head} {passage} {words(int(rng.integers(0, 60)))}".encode()
+                begin = len(head) + 1
+                ends = substring_dedup.cut(np.frombuffer(text, np.uint8))[0] - begin
+                inside = [int(e) for e in ends if 0 <= e <= len(passage)]
+                cuts.append(set(zip(inside, inside[1:])))
+            assert cuts[0] & cuts[1]
