@@ -23,10 +23,11 @@ Defined results
 
 from __future__ import annotations
 
-import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
 _UNIGRAM, _BPE = 1, 2
-_CACHED_WORDS = 250_000  # words per generation of a Python worker's cache
+_CACHED_WORDS = 400_000  # words per generation of a Python worker's cache
 _CACHED_LENGTH = 48
+_CACHED_PAIRS = 500_000  # neighbouring pieces whose merging is remembered
 
 
 # --- the model file -------------------------------------------------------------------------------
@@ -102,16 +104,15 @@ class PieceModel:
         #: No piece spans the place before a word's space mark, so every path meets there.
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._unknown_score = min(self.scores[i] for i in self.ids.values()) - 10 if self.ids else 0.0
-        self._stays_apart = lru_cache(1 << 18)(lambda left, right: self._merge(left + right) == [left, right])
+        self._apart = _Apart(self)
         #: What a path may consist of; in a BPE file the pieces that its merges can produce.
         self._steps = self.ids if self.kind == _UNIGRAM else {p: i for p, i in self.ids.items() if self._merge(p) == [p]}
-        #: Piece ids by every ending of a piece; -1 for an ending that is no piece itself.
-        self._endings: dict[str, int] = {}
-        for piece in self._steps:
-            for i in range(1, len(piece)):
-                self._endings.setdefault(piece[i:], -1)
-        self._endings.update(self._steps)
-        self._words = _WordCache(self)
+        #: By every beginning of a piece, (length, id) of the pieces that end it, longest first.
+        self._ways = {begin: tuple((n, self._steps[begin[-n:]]) for n in range(len(begin), 0, -1) if begin[-n:] in self._steps)
+                      for begin in {piece[:i] for piece in self._steps for i in range(1, len(piece) + 1)}}
+        self._words, self._tails = _WordCache(self, SPACE), _WordCache(self, "")
+        #: The ids of a line's end, where paths meet before and after it.
+        self._line = self._found("\n") if self.byte_fallback and "\n" not in self._steps else b""
         self._spelled = [bytes([int(p[3:5], 16)]) if t == _BYTE else b"" if t == _CONTROL else
                          p.replace(SPACE, " ").encode() if t != _UNKNOWN else " ⁇ ".encode()
                          for p, t in zip(self.pieces, self.types)]
@@ -142,64 +143,65 @@ class PieceModel:
 
     def search(self, text: Iterable[str]) -> Iterator[int]:
         """Ids of a normalised text given as characters, emitted as soon as they are final."""
-        steps, endings, stays_apart, longest = self._steps, self._endings, self._stays_apart, self.longest
+        steps, ways, apart, longest, pieces = self._steps, self._ways, self._apart, self.longest, len(self.pieces)
         bpe, values = self.kind == _BPE, self.scores
-        window = ""  # the characters since the last final boundary
-        # Per boundary of the window: where its best path's last piece begins (-1: no path), that piece, the path's score.
-        begins, last, scores = [0], [None], [0.0]
+        end, held = 0, ""  # the characters since the last final boundary, the longest ending of the text that begins a piece
+        # Per boundary of the window: where its best path's last piece begins, that piece's id times the pieces (-pieces: none),
+        # the path's score. Each character is a piece, so every boundary has a path.
+        begins, last, scores = [0], [-pieces], [0.0]
 
         def settle(boundary: int) -> list[int]:
             """The ids up to a boundary that all paths share; the search goes on from there."""
-            nonlocal window, begins, last, scores
+            nonlocal end, begins, last, scores
             found, at = [], boundary
             while at:
-                found.append(steps[last[at]])
+                found.append(last[at] // pieces)
                 at = begins[at]
-            window, last, scores = window[boundary:], last[boundary:], scores[boundary:]
+            end, last, scores = end - boundary, last[boundary:], scores[boundary:] or [0.0]
             begins = [0] + [x - boundary for x in begins[boundary + 1:]]
             return found[::-1]
 
         unknown_before = False
         for character in text:
             if character not in steps:  # nothing spans it: all paths meet before and after
-                yield from settle(len(window))
+                yield from settle(end)
                 if self.byte_fallback:
                     yield from (self.bytes_ids[b] for b in character.encode())
                 elif not unknown_before:
                     yield self.unknown
                 unknown_before = True
-                window, begins, last, scores = "", [0], [None], [scores[0] + self._unknown_score]
+                held, begins, last, scores = "", [0], [-pieces], [scores[0] + self._unknown_score]
                 continue
             unknown_before = False
-            window += character
-            end = len(window)
-            begin, best, top, start = -1, None, 0.0, end
-            while start:
-                start -= 1
-                piece = window[start:end]
-                found = endings.get(piece)
-                if found is None:
-                    break
-                if found < 0 or begins[start] < 0:
-                    continue
-                if bpe:
-                    if last[start] is None or stays_apart(last[start], piece):
-                        begin, best = start, piece
+            held += character
+            while (found := ways.get(held)) is None:
+                held = held[1:]
+            end += 1
+            if bpe:
+                for length, piece in found:
+                    start = end - length
+                    if start >= 0 and apart[last[start] + piece]:  # no other piece does
                         break
-                elif best is None or scores[start] + values[found] >= top:  # of equal paths, the longer last piece
-                    begin, best, top = start, piece, scores[start] + values[found]
-            begins.append(begin)
-            last.append(best)
-            scores.append(top)
+                begins.append(start)
+                last.append(piece * pieces)
+            else:
+                best = -1
+                for length, piece in found:
+                    start = end - length
+                    if start >= 0 and (best < 0 or scores[start] + values[piece] > top):  # of equal paths, the longer last piece
+                        begin, best, top = start, piece, scores[start] + values[piece]
+                begins.append(begin)
+                last.append(best * pieces)
+                scores.append(top)
             if end >= 2 * longest:
                 meeting = self._meeting(begins, end)
                 if meeting:
                     yield from settle(meeting)
-        yield from settle(len(window))
+        yield from settle(end)
 
     def _meeting(self, begins: list[int], end: int) -> int:
         """The last boundary that the paths of all boundaries still in reach have in common."""
-        alive = {b for b in range(end - self.longest + 1, end + 1) if begins[b] >= 0}
+        alive = set(range(end - self.longest + 1, end + 1))
         while len(alive) > 1:
             furthest = max(alive)
             alive.discard(furthest)
@@ -207,13 +209,19 @@ class PieceModel:
         return alive.pop()
 
     def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as 32-bit integers: a text's words are joined without touching every id."""
         if not self.words_apart or not self.dummy_prefix or not text:
-            return list(self.search(self.normalise(text)))
+            return self._found(self.normalise(text))
         words = text.split(" ")
         if "" in words or SPACE in text:  # runs of spaces are pieces of their own
-            return list(itertools.chain.from_iterable(
-                self._words[w[1:]] if w[0] == SPACE and SPACE not in w[1:] else self.search(w) for w in _words(self.normalise(text))))
-        return list(itertools.chain.from_iterable(map(self._words.__getitem__, words)))
+            return b"".join(self._words[w[1:]] if w[0] == SPACE and SPACE not in w[1:] else self._found(w) for w in _words(self.normalise(text)))
+        return b"".join(map(self._words.__getitem__, words))
+
+    def _found(self, normal: str) -> bytes:
+        return array("i", self.search(normal)).tobytes()
 
     # --- decoding
 
@@ -232,20 +240,42 @@ def _words(normal: str) -> Iterator[str]:
     yield normal[start:]
 
 
+class _Apart(dict):
+    """By left id * number of pieces + right id: whether two pieces stay apart when they are merged by themselves.
+    Negative where there is nothing on the left."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, pair: int) -> bool:
+        if pair < 0:
+            return True
+        if len(self) >= _CACHED_PAIRS:
+            self.clear()
+        both = [self.model.pieces[i] for i in divmod(pair, len(self.model.pieces))]
+        found = self[pair] = self.model._merge("".join(both)) == both
+        return found
+
+
 class _WordCache(dict):
-    """Ids by word, its space mark left out; paths meet at its two ends, so the search needs to see each word once.
+    """Ids (32-bit integers) by word, its ``mark`` left out; paths meet at its two ends, so the search needs to see each word once.
+    Where they meet at the ends of lines too, what is between those is looked up by itself.
 
     Two generations: when the young one is full it becomes the old one, and words still in use move back.
     """
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, model: PieceModel, mark: str):
         super().__init__()
-        self.model, self.old = model, {}
+        self.model, self.mark, self.old = model, mark, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
+        if "\n" in word and self.model._line:
+            first, *others = word.split("\n")
+            return self.model._line.join([self[first], *map(self.model._tails.__getitem__, others)])
         found = self.old.get(word)
         if found is None:
-            found = tuple(self.model.search(SPACE + word))
+            found = self.model._found(self.mark + word)
         if len(word) <= _CACHED_LENGTH:
             if len(self) >= _CACHED_WORDS:
                 self.old = dict(self)
@@ -277,15 +307,16 @@ def encode_column(docs: DataFrame, model_file: str = MODEL_FILE, text: str = "te
     def run(batches):
         model = _model(data)
         for batch in batches:
-            ids, exact = [], []
+            found, exact = [], []
             for value in batch.column(at):
                 value = value.as_py()
-                found = None if value is None else model.encode(value)
-                ids.append(found)
-                exact.append(None if value is None else model.decode(found) == value)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(ids, pa.list_(pa.field("element", pa.int32(), False))), pa.array(exact, pa.bool_())],
-                names=[f.name for f in shape.fields])
+                found.append(b"" if value is None else model.encode_bytes(value))
+                exact.append(None if value is None else model.decode(array("i", found[-1])) == value)
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)),
+                                           pa.list_(pa.field("element", pa.int32(), False)), mask=pa.array([x is None for x in exact], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), ids, pa.array(exact, pa.bool_())],
+                                             names=[f.name for f in shape.fields])
 
     return docs.mapInArrow(run, shape)
 

@@ -110,3 +110,21 @@ def test_packed_matrices_hold_every_document_once(spark, tmp_path):
         assert ids[-1] == encoder.end and encoder.encoding.decode(ids[:-1].tolist()) == row["text"]
     assert 1 not in whole and 2 not in whole and len([p for p in pieces if p[0] == 7]) == 2
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_a_search_for_a_new_word_looks_at_few_pairs_of_pieces(data):
+    import sentencepiece as library
+    model, expected, asked = sentencepiece.PieceModel(data), library.SentencePieceProcessor(model_proto=data), []
+
+    class Counted(dict):
+        def __missing__(self, pair):
+            asked.append(pair)
+            return model_apart[pair]
+
+    model_apart, model._apart = model._apart, Counted()
+    words = ["".join(x) for x in zip(*(random.Random(i).choices(["th", "ing", "onst", "é", "ber", "ß", "q7"], k=400) for i in range(6)))]
+    assert [model.encode(w) for w in words] == [expected.encode(w) for w in words]
+    assert len(asked) < 2 * sum(map(len, words))  # longest pieces first; shortest first asks for 2.5 a character and more
+    lines = "\n".join(words[:50]) + "\n\n" + words[0] + "\n"
+    held = len(model._words)
+    assert model.encode(lines) == expected.encode(lines) and len(model._words) == held  # a line's parts are held, not the lines
