@@ -17,7 +17,8 @@ so a document of s n-grams needs a partner that shares at least T = ceil(percent
    search. Pairs that are already connected are passed over, as only classes are wanted.
 5. A cell with more than ``BLOCK`` n-grams is dealt over blocks. Each block is searched by itself; then a
    few members of every sizeable class meet in hub blocks, which mostly joins the classes of a family of
-   near copies; last, every document outside the cell's largest class is searched against all blocks.
+   near copies; then documents without enough n-grams that other classes of the cell have too are done with; last,
+   every document left outside the cell's largest class is searched against all blocks.
    No two documents of different classes are left uncompared, and no task holds more than two blocks.
 
 N-grams are 64-bit hashes of their words; two documents of 1,000 n-grams mistake different ones for equal
@@ -41,10 +42,10 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgermatch.llm.common import documents, materialise, release_shuffles
+from ledgermatch.llm.common import documents, materialise, possible, release_shuffles
 from ledgermatch.llm.components import connected_components
 
 BLOCK = 1_500_000          # n-grams per block of a cell
@@ -311,6 +312,24 @@ def _classes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
                        .withColumn("label", F.coalesce("label", "node")))
 
 
+def _able(named: DataFrame, percent: int) -> DataFrame:
+    """The rows (cell, node, label, keys) that can have a partner of another class in their cell: of a document's n-grams
+    as many as a partner must share are found in several classes."""
+    def spell(batches):
+        for batch in batches:
+            keys = [np.frombuffer(k, np.int64) for k in batch["keys"]]
+            sizes = [len(k) for k in keys]
+            yield pd.DataFrame({"cell": np.repeat(batch["cell"].to_numpy(), sizes), "key": np.concatenate(keys) if keys else np.empty(0, np.int64),
+                                "label": np.repeat(batch["label"].to_numpy(), sizes), "node": np.repeat(batch["node"].to_numpy(), sizes)})
+
+    of_key = Window.partitionBy("cell", "key")
+    several = (named.select("cell", "node", "label", "keys").mapInPandas(spell, "cell long, key long, label long, node long")
+               .withColumns({"low": F.min("label").over(of_key), "high": F.max("label").over(of_key)}).where("low < high"))
+    counts = materialise(several.groupBy("node").agg(F.count("*").alias("n")))
+    release_shuffles(named.sparkSession)
+    return materialise(named.join(counts, "node").where(f"100 * n >= {percent} * (length(keys) div 8)").drop("n"))
+
+
 def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """All links needed within the cells (node: a doc_id, size, cell)."""
     blocks = cells.groupBy("cell").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
@@ -322,7 +341,8 @@ def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) ->
             keys = [ngram_keys(text, n, hashes) for text in batch.pop("text")]
             yield batch.assign(keys=[k.tobytes() for k in keys])
 
-    dealt = materialise(docs.select(F.col("doc_id").alias("node"), "text").join(placed.hint("shuffle_hash"), "node")
+    texts = possible(docs.select(F.col("doc_id").alias("node"), "text"), "node", placed.select("node")).where("possible")
+    dealt = materialise(texts.drop("possible").join(placed.hint("shuffle_hash"), "node")
                         .select("node", "cell", "block", "blocks", "text")
                         .mapInPandas(build, "node long, cell long, block int, blocks int, keys binary")
                         ).withColumns({"label": F.col("node"), "query": F.lit(True)})
@@ -345,7 +365,9 @@ def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) ->
     nodes = _classes_of(nodes, links)
     per_class = nodes.groupBy("cell", "label").agg(F.count("*").alias("n"))
     largest = per_class.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    named = materialise(held.join(nodes.select("node", "cell", "label"), ["node", "cell"]).join(largest, "cell"))
+    named = _able(materialise(held.join(nodes.select("node", "cell", "label"), ["node", "cell"]).join(largest, "cell")), percent)
+    blocks = named.groupBy("cell").agg(F.ceil(F.sum(F.length("keys") / 8) / BLOCK).cast("int").alias("blocks"))
+    named = named.drop("blocks").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = named.where("label <> top")
     outside = rest.groupBy("cell").agg(F.ceil(F.sum(F.length("keys") / 8) / BLOCK).cast("int").alias("parts"))
     asking = (rest.join(outside, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int"))
@@ -390,7 +412,9 @@ def keep_one_per_class(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """The rows of ``docs`` whose doc_id is the smallest of its class, and those without a doc_id."""
     gone = materialise(ngram_classes(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct())
     release_shuffles(docs.sparkSession)
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    marked = possible(docs.select(F.col("doc_id").alias("__id"), F.struct(docs.columns).alias("__row")), "__id", gone)
+    asked = marked.where("possible").join(gone.hint("shuffle_hash"), F.col("__id") == F.col("doc_id"), "left_anti")
+    return marked.where("NOT possible").select("__row.*").union(asked.select("__row.*"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
+from ledgermatch.llm.common import possible
 from ledgermatch.llm.components import connected_components
 from tests.llm.helpers import odd_documents, prose, texts_frame
 
@@ -130,6 +131,24 @@ def test_ngram_classes_on_odd_input(spark):
     assert ngram_join.ngram_classes(docs.limit(0)).count() == 0
 
 
+def test_only_documents_with_enough_ngrams_of_other_classes_are_searched_on(spark):
+    keys = lambda *x: np.array(x, np.int64).tobytes()
+    rows = [(1, 10, 7, keys(1, 2, 3, 4)), (1, 11, 7, keys(1, 2, 3, 5)), (1, 12, 8, keys(1, 2, 3, 9)), (1, 13, 9, keys(1, 20, 21, 22)),
+            (2, 14, 7, keys(1, 2, 3, 4)), (2, 15, 7, keys(1, 2, 3, 4))]
+    frame = spark.createDataFrame(rows, "cell long, node long, label long, keys binary")
+    assert {r["node"] for r in ngram_join._able(frame, 75).collect()} == {10, 11, 12}
+    assert ngram_join._able(frame, 80).count() == 0
+
+
+def test_rows_with_few_possible_partners_are_told_without_losing_one(spark):
+    ids = spark.range(0, 20000, 20).withColumnRenamed("id", "node")
+    rows = spark.range(0, 20000).withColumnRenamed("id", "doc_id").union(spark.createDataFrame([(None,)], "doc_id long"))
+    marked = possible(rows, "doc_id", ids).collect()
+    assert len(marked) == 20001 and all(r["possible"] for r in marked if r["doc_id"] is not None and r["doc_id"] % 20 == 0)
+    assert 1000 <= sum(r["possible"] for r in marked) < 3000 and not any(r["possible"] for r in marked if r["doc_id"] is None)
+    assert not any(r["possible"] for r in possible(rows, "doc_id", ids.limit(0)).collect())
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(300, 200), (250, 300), (250, 400)]
     frame = spark.createDataFrame(links, "a long, b long")
