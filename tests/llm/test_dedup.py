@@ -172,6 +172,16 @@ def test_chunks_tile_the_text_and_fall_back_into_step():
     assert len(set(a) & set(b)) > 0.9 * len(a)
 
 
+def test_digests_alone_are_those_of_the_chunks(spark):
+    rng = random.Random(8)
+    rows = [(1, prose(rng, 300), "en", "s"), (2, None, "en", "s"), (None, "é" * 700 + prose(rng, 90), "en", "s"), (3, "", "en", "s"), (4, "one word " * 200, "en", "s")]
+    docs = texts_frame(spark, rows)
+    expected = substring_dedup.chunks(docs).select("doc_id", "digest").distinct()
+    got = substring_dedup.chunk_digests(docs)
+    order = lambda x: sorted(map(tuple, x.collect()), key=str)
+    assert order(got) == order(expected)
+
+
 def test_passages_of_51_words_go_whole_and_clean_documents_stay(spark):
     rng = random.Random(3)
     rows, passages = [], {}
