@@ -17,8 +17,12 @@ so a document of s n-grams needs a partner that shares at least T = ceil(percent
    search. Pairs that are already connected are passed over, as only classes are wanted.
 5. A cell with more than ``BLOCK`` n-grams is dealt over blocks. Each block is searched by itself; then a
    few members of every sizeable class meet in hub blocks, which mostly joins the classes of a family of
-   near copies; then documents without enough n-grams that other classes of the cell have too are done with; last,
-   every document left outside the cell's largest class is searched against all blocks.
+   near copies; then documents without enough n-grams that other classes of the cell have too are done with.
+6. Of the rest, only n-grams found in several classes of the cell count. Ordered by how many documents have them, rarest
+   first, two linked documents of r such n-grams share one of their first r - T + 1. Every document is measured against
+   one that many of these have in common with it, which joins most families; then all pairs that still have one in common
+   and differ in class, if what follows the n-gram in both is enough. An n-gram among the first of more than ``FEW`` documents
+   lists no pairs: its documents form families, in which every document outside the largest class is searched against all blocks.
    No two documents of different classes are left uncompared, and no task holds more than two blocks.
 
 N-grams are 64-bit hashes of their words; two documents of 1,000 n-grams mistake different ones for equal
@@ -51,6 +55,7 @@ from ledgermatch.llm.components import connected_components
 BLOCK = 1_500_000          # n-grams per block of a cell
 HOT_SHARE, HOT_LEAST = 1000, 32
 EXTRA = 6
+FEW = 32                   # documents that share a first n-gram and are compared in pairs
 _BATCH_KEYS = 4_000_000    # n-grams counted together in a task
 _HUB_FROM, _HUB_MEMBERS = 16, 8
 _LEADERS = 8
@@ -221,7 +226,7 @@ def t_occurrence_links(keys: list[np.ndarray], labels: list, queries: list[int]
     flat, starts = np.concatenate(keys), np.cumsum([0, *sizes[:-1]])
 
     # Leaders: one document against all others at once. Families of near copies fall together here.
-    compared = 0
+    compared, done = 0, set()
     order = sorted(queries if queries is not None else range(total), key=lambda i: -sizes[i])
     led: set[int] = set()
     for i in order:
@@ -230,6 +235,7 @@ def t_occurrence_links(keys: list[np.ndarray], labels: list, queries: list[int]
         if classes.root(i) in led:
             continue
         compared += 1
+        done.add(i)
         common = np.add.reduceat(np.isin(flat, keys[i]), starts, dtype=np.int64)
         for j in np.flatnonzero(100 * common >= percent * (np.array(sizes) + sizes[i] - common)).tolist():
             if classes.join(i, j):
@@ -240,7 +246,7 @@ def t_occurrence_links(keys: list[np.ndarray], labels: list, queries: list[int]
             return links
 
     roots = [classes.root(i) for i in range(total)]
-    if len(set(roots)) == 1:
+    if len(set(roots)) == 1 or (queries is not None and done.issuperset(queries)):
         return links
     if queries is None:  # of any two classes one is not the largest
         values, times = np.unique(roots, return_counts=True)
@@ -312,24 +318,115 @@ def _classes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
                        .withColumn("label", F.coalesce("label", "node")))
 
 
-def _able(named: DataFrame, percent: int) -> DataFrame:
-    """The rows (cell, node, label, keys) that can have a partner of another class in their cell: of a document's n-grams
-    as many as a partner must share are found in several classes."""
+def _several(named: DataFrame) -> DataFrame:
+    """(cell, key, label, node, size, held): the n-grams of the rows (cell, node, label, keys) that several classes of a cell
+    have; held: the number of its documents that do."""
     def spell(batches):
         for batch in batches:
             keys = [np.frombuffer(k, np.int64) for k in batch["keys"]]
             sizes = [len(k) for k in keys]
             yield pd.DataFrame({"cell": np.repeat(batch["cell"].to_numpy(), sizes), "key": np.concatenate(keys) if keys else np.empty(0, np.int64),
-                                "label": np.repeat(batch["label"].to_numpy(), sizes), "node": np.repeat(batch["node"].to_numpy(), sizes)})
+                                "label": np.repeat(batch["label"].to_numpy(), sizes), "node": np.repeat(batch["node"].to_numpy(), sizes),
+                                "size": np.repeat(sizes, sizes).astype(np.int64)})
 
     of_key = Window.partitionBy("cell", "key")
-    several = (named.select("cell", "node", "label", "keys").mapInPandas(spell, "cell long, key long, label long, node long")
-               .withColumns({"low": F.min("label").over(of_key), "high": F.max("label").over(of_key)}).where("low < high"))
-    counts = materialise(several.groupBy("node").agg(F.count("*").alias("n")))
+    return (named.select("cell", "node", "label", "keys").mapInPandas(spell, "cell long, key long, label long, node long, size long")
+            .withColumns({"low": F.min("label").over(of_key), "high": F.max("label").over(of_key), "held": F.count("*").over(of_key)})
+            .where("low < high").drop("low", "high"))
+
+
+def _able(named: DataFrame, percent: int) -> DataFrame:
+    """The rows (cell, node, label, keys) that can have a partner of another class in their cell: of a document's n-grams
+    as many as a partner must share are found in several classes."""
+    counts = materialise(_several(named).groupBy("node").agg(F.count("*").alias("n")))
     release_shuffles(named.sparkSession)
     return materialise(named.join(counts, "node").where(f"100 * n >= {percent} * (length(keys) div 8)").drop("n"))
 
 
+def _first_shared(named: DataFrame, percent: int) -> DataFrame:
+    """(cell, key, label, node, size, rest): the first n-grams of step 6; rest: how many of the document's follow, itself included."""
+    of_node = Window.partitionBy("node")
+    return (_several(named).select("cell", "key", "label", "node", "size", F.count("*").over(of_node).alias("r"),
+                                   F.row_number().over(of_node.orderBy("held", "key")).alias("at"))
+            .where(f"at <= r - (({percent} * size + 99) div 100) + 1")
+            .select("cell", "key", "label", "node", "size", (F.col("r") - F.col("at") + 1).alias("rest")))
+
+
+def _measured(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs`` (center, node, size of node), each center with its partners, dealt over parts if they are large."""
+    parts = pairs.groupBy("center").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("parts"))
+    dealt = materialise(pairs.join(parts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node"))
+    held = named.select("node", "label", "keys")
+    centers = dealt.select("center", "part").distinct().withColumn("node", F.col("center"))
+    columns = ["center", "part", "node", "label", "query", "keys"]
+    rows = (dealt.join(held, "node").withColumn("query", F.lit(False)).select(columns)
+            .union(centers.join(held, "node").withColumn("query", F.lit(True)).select(columns)))
+    return _search(rows, ["center", "part"], percent)
+
+
+def _against_all(named: DataFrame, percent: int) -> DataFrame:
+    """Links that join all linked documents of a cell (cell, node, label, keys): what is outside its largest class, against all blocks."""
+    per_class = named.groupBy("cell", "label").agg(F.count("*").alias("n"))
+    largest = per_class.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
+    blocks = named.groupBy("cell").agg(F.ceil(F.sum(F.length("keys") / 8) / BLOCK).cast("int").alias("blocks"))
+    named = named.join(largest, "cell").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = named.where("label <> top")
+    outside = rest.groupBy("cell").agg(F.ceil(F.sum(F.length("keys") / 8) / BLOCK).cast("int").alias("parts"))
+    asking = (rest.join(outside, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int"))
+              .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    asked = (named.join(outside, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .withColumn("against", F.col("block")))
+    columns = ["cell", "part", "against", "node", "label", "query", "keys"]
+    pairs = asking.withColumn("query", F.lit(True)).select(columns).union(asked.withColumn("query", F.lit(False)).select(columns))
+    return _search(pairs, ["cell", "part", "against"], percent)
+
+
+def _between_classes(named: DataFrame, percent: int) -> DataFrame:
+    """Links that join all linked documents of different classes in a cell (cell, node, label, keys)."""
+    spark = named.sparkSession
+    first = materialise(_first_shared(named, percent))
+    release_shuffles(spark)
+
+    def can_link(size, rest, other_size, other_rest):
+        """The n-gram being the first that both have, as many as a link needs must be left in both."""
+        return 100 * F.least(rest, other_rest) >= percent * (size + other_size - F.least(rest, other_rest))
+
+    # Each document and the one that is at the head of most of its first n-grams.
+    heads = first.groupBy("cell", "key").agg(F.min(F.struct("node", "label", "size", "rest")).alias("head"))
+    met = first.join(heads, ["cell", "key"]).where(F.col("label") != F.col("head.label")).where(
+        can_link(F.col("size"), F.col("rest"), F.col("head.size"), F.col("head.rest")))
+    best = (met.groupBy("node", "size", F.col("head.node").alias("center")).agg(F.count("*").alias("n"))
+            .groupBy("node", "size").agg(F.max_by("center", F.struct("n", "center")).alias("center")))
+    links = materialise(_measured(materialise(best), named, percent))
+    release_shuffles(spark)
+
+    # All pairs with a first n-gram in common that are still of different classes.
+    a, b = (named.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")).distinct() for x in "ab")
+    joined = connected_components(links.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+                                  ).withColumnRenamed("node", "label")
+
+    def renamed(rows):
+        return rows.join(joined, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+    of_key = Window.partitionBy("cell", "key")
+    first = materialise(renamed(first).withColumns({"low": F.min("label").over(of_key), "high": F.max("label").over(of_key),
+                                                    "n": F.count("*").over(of_key)}).where("low < high"))
+    named = renamed(named)
+    few = first.where(F.col("n") <= FEW).select("cell", "key", "node", "label", "size", "rest")
+    other = few.select("cell", "key", *(F.col(x).alias(f"other_{x}") for x in ("node", "label", "size", "rest")))
+    pairs = (few.join(other, ["cell", "key"]).where("other_node < node AND other_label <> label")
+             .where(can_link(*map(F.col, ("size", "rest", "other_size", "other_rest"))))
+             .select(F.col("other_node").alias("center"), "node", "size").distinct())
+    links = materialise(links.union(_measured(materialise(pairs), named, percent)))
+    release_shuffles(spark)
+    many = first.where(F.col("n") > FEW)
+    if many.isEmpty():
+        return links
+    leads = many.groupBy("cell", "key").agg(F.min("node").alias("b"))
+    families = connected_components(many.join(leads, ["cell", "key"]).select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    return links.union(_against_all(materialise(named.drop("cell").join(families.withColumnRenamed("component", "cell"), "node")), percent))
+
+
 def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """All links needed within the cells (node: a doc_id, size, cell)."""
     blocks = cells.groupBy("cell").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
@@ -361,22 +458,10 @@ def _links_of_cells(cells: DataFrame, docs: DataFrame, n: int, percent: int) ->
     held = several.select("node", "cell", "block", "blocks", "query", "keys")
     links = materialise(links.union(_search(held.drop("cell").join(hub, "node"), ["cell", "hub"], percent)))
 
-    # What is outside its cell's largest class, against all blocks of the cell.
+    # What can still be linked to another class of its cell.
     nodes = _classes_of(nodes, links)
-    per_class = nodes.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    largest = per_class.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    named = _able(materialise(held.join(nodes.select("node", "cell", "label"), ["node", "cell"]).join(largest, "cell")), percent)
-    blocks = named.groupBy("cell").agg(F.ceil(F.sum(F.length("keys") / 8) / BLOCK).cast("int").alias("blocks"))
-    named = named.drop("blocks").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = named.where("label <> top")
-    outside = rest.groupBy("cell").agg(F.ceil(F.sum(F.length("keys") / 8) / BLOCK).cast("int").alias("parts"))
-    asking = (rest.join(outside, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int"))
-              .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    asked = (named.join(outside, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .withColumn("against", F.col("block")))
-    columns = ["cell", "part", "against", "node", "label", "query", "keys"]
-    pairs = asking.select(columns).union(asked.withColumn("query", F.lit(False)).select(columns))
-    return links.union(_search(pairs, ["cell", "part", "against"], percent))
+    named = _able(materialise(held.join(nodes.select("node", "cell", "label"), ["node", "cell"]).select("cell", "node", "label", "keys")), percent)
+    return links.union(_between_classes(named, percent))
 
 
 # --- the join -------------------------------------------------------------------------------------

@@ -131,6 +131,38 @@ def test_ngram_classes_on_odd_input(spark):
     assert ngram_join.ngram_classes(docs.limit(0)).count() == 0
 
 
+def test_classes_of_a_large_cell_meet_by_their_first_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    rng = np.random.default_rng(32)
+    parts = [rng.choice(10**6, 20) for _ in range(31)]
+    sets = []
+    for a, b in zip(parts, parts[1:]):  # each family shares half with the next
+        for _ in range(3):
+            kept = np.concatenate([a, b])
+            kept[:rng.integers(4)] = rng.integers(10**6, 2 * 10**6)
+            sets.append(np.unique(kept))
+    rows = [(0, i, i // 3 * 3 if i % 3 == 1 else i, x.astype(np.int64).tobytes()) for i, x in enumerate(sets)]
+    search, dealt = ngram_join._search, []
+
+    def counted(frame, group, percent):
+        dealt.append(frame.count())
+        return search(frame, group, percent)
+
+    monkeypatch.setattr(ngram_join, "_search", counted)
+    links = ngram_join._between_classes(spark.createDataFrame(rows, "cell long, node long, label long, keys binary"), 85).collect()
+    classes, want = ngram_join._Classes([r[2] for r in rows]), ngram_join._Classes([r[2] for r in rows])
+    linked = lambda i, j: ngram_join._linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 85)
+    for r in links:
+        assert linked(r["a"], r["b"])
+        classes.join(r["a"], r["b"])
+    for i in range(len(sets)):
+        for j in range(i):
+            if linked(i, j):
+                want.join(i, j)
+    assert all((classes.root(i) == classes.root(j)) == (want.root(i) == want.root(j)) for i in range(len(sets)) for j in range(i))
+    assert 0 < sum(dealt) < 6 * len(rows)  # block against block each row would be dealt more than ten times
+
+
 def test_only_documents_with_enough_ngrams_of_other_classes_are_searched_on(spark):
     keys = lambda *x: np.array(x, np.int64).tobytes()
     rows = [(1, 10, 7, keys(1, 2, 3, 4)), (1, 11, 7, keys(1, 2, 3, 5)), (1, 12, 8, keys(1, 2, 3, 9)), (1, 13, 9, keys(1, 20, 21, 22)),
