@@ -311,7 +311,7 @@ def test_unequal_pairs_equal_brute_force_and_few_rows_are_dealt(spark):
     gls = [g if g[0] == "a" or g[4] else (*g[:4], dt.date(2026, 1, 4), g[5]) for g in gls]  # no undated entry in book b
     frame = lambda x: spark.createDataFrame(x, "client_book_id string, tol long, id string, amount long, date date, name string")
     known = [n for n in names if n]
-    alike = [(b, x, y) for b in "ab" for x in known for y in known if jaro_winkler(x, y) >= 0.9]
+    alike = [(b, x, y) for b in "ab" for x in known for y in known if jaro_winkler([x], [y])[0] >= 0.9]
     pairs = spark.createDataFrame(alike, "client_book_id string, name_a string, name_b string")
     want = sorted((k[2], g[2]) for k in banks for g in gls if k[0] == g[0] and k[3] and g[3] and abs(abs(k[3]) - abs(g[3])) > 100
                   and (not k[4] or not g[4] or 0 <= (g[4] - k[4]).days <= 14)
