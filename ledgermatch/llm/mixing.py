@@ -28,12 +28,13 @@ import heapq
 import math
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgermatch.llm.common import documents, row_key
+from ledgermatch.llm.common import documents, materialise, row_key
 
 MAX_SLOTS = 1 << 16
 MAX_SHARE = Fraction(1, 3)
@@ -135,6 +136,24 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     return mixed.repartitionByRange("__mix_slot").sortWithinPartitions("__mix_slot").select(docs.columns)
 
 
+def written_places(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their place from 0 in the order they were written in: the files' by number, a file's rows as they stand.
+
+    Reading deals files to tasks by size, so the rows' order is lost there; a file's name and its rows' numbers are not.
+    Rows that were not just read from files are written first.
+    """
+    where = F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    try:
+        numbered = rows.select("*", *where)
+    except AnalysisException:
+        rows = materialise(rows)
+        numbered = rows.select("*", *where)
+    part = F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    sizes = numbered.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))  # one row per file
+    offsets = materialise(sizes.select("__file", (F.sum("__n").over(Window.orderBy(part, "__file")) - F.col("__n")).alias("__before")))
+    return numbered.join(offsets, "__file").select(*rows.columns, (F.col("__before") + F.col("__row")).alias(name))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's block and slot where all sources have the same target weight."""
     return mix_sources(documents(spark, folder), EQUAL).select("doc_id", "source", *("mix_" + x for x in _MIX))

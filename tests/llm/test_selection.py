@@ -216,6 +216,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == len(out["encode"])
 
 
+def test_encode_returns_the_places_of_the_mix(spark, tmp_path):
+    rows = [(i, f"text {i} " * (1 + i % 7), "aa", "big" if i % 3 else "small") for i in range(90)]
+    corpus_pipeline.mix(spark, texts_frame(spark, rows), "").write.option("maxRecordsPerFile", 11).parquet(str(tmp_path / "mix"))
+    found = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mix")), "").collect()
+    assert sorted(r["slot"] for r in found) == list(range(90)) and {r["doc_id"] for r in found} == set(range(90))
+    order = [r["source"] for r in sorted(found, key=lambda r: r["slot"])]
+    assert all(order[t] != order[t + 1] for t in range(0, 58, 2)) and order[60:] == ["big"] * 30
+    again = corpus_pipeline.encode(spark, texts_frame(spark, rows), "").collect()  # rows that no file holds yet
+    assert sorted(r["slot"] for r in again) == list(range(90))
+
+
 def test_unlabelled_documents_with_a_letter_stay(spark):
     rows = [(1, "some words", None, "s"), (2, "12 34", None, "s"), (3, None, None, "s"), (4, "é", None, None)]
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, texts_frame(spark, rows), "").collect()} == {1, 4}
