@@ -297,6 +297,14 @@ def test_texts_under_one_id_and_repeated_rows_remove_nothing_from_each_other(spa
     assert all(r["spans"] == [] for r in alone)
 
 
+def test_a_passage_that_repeats_often_within_a_document_is_removed_throughout(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(20)]
+    line = " ".join(words) + " "
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(texts_frame(spark, [(1, line * 3, "en", "s"), (2, line * 15, "en", "s")])).collect()}
+    assert got[1]["text"] == line * 3 and got[2]["text"].strip() == ""
+
+
 def test_substring_dedup_on_odd_input(spark):
     docs = odd_documents(spark)
     rows = substring_dedup.dedup_substrings(docs, min_words=3).collect()
