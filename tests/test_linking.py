@@ -188,6 +188,30 @@ def test_combinations_in_date_windows_equal_brute_force(spark, monkeypatch, few)
     assert sorted((r["inv_id"], tuple(r["ids"]), r["total"]) for r in got) == sorted(want) and len(want) > 20
 
 
+@pytest.mark.parametrize("n_targets,tol", [(1, 40), (5, 3), (60, 0)])
+def test_windows_searched_together_equal_brute_force(n_targets, tol):
+    rng = np.random.default_rng(n_targets)
+    sizes = [4, 0, 7, 1]
+    amount, loose = rng.integers(-60, 200, sum(sizes)), rng.integers(-60, 200, 6)
+    window = np.repeat(np.arange(len(sizes)), sizes)
+    mark = np.concatenate([np.where(np.arange(n) < 2, 3, rng.choice([0, 2], n)) for n in sizes])  # the first two begin their window
+    of_loose, size = rng.choice([0, 2], 6), np.sort(rng.integers(0, 500, n_targets))
+    got = []
+    for t, places, own, total in subset.window_sets(np.searchsorted(window, window, "right"), amount, mark, subset.loose_sums(loose, of_loose, 4), size, tol, 5):
+        for k, line, s in zip(t, places, total):
+            got.append((int(k), tuple(sorted(line[:own].tolist())), tuple(sorted(line[own:].tolist())), int(s)))
+    want = []
+    for w in range(len(sizes)):
+        mine = np.flatnonzero(window == w).tolist()
+        for n in range(2, 6):
+            for combo in itertools.combinations([(0, i) for i in mine] + [(1, i) for i in range(6)], n):
+                own, more = [i for kind, i in combo if kind == 0], [i for kind, i in combo if kind == 1]
+                if np.bitwise_or.reduce([*mark[own], *of_loose[more]]) == 3:
+                    total = int(amount[own].sum() + loose[more].sum())
+                    want += [(k, tuple(own), tuple(more), total) for k, x in enumerate(size) if abs(abs(total) - x) <= tol]
+    assert sorted(got) == sorted(want) and want
+
+
 def _members(spark, rows):
     return spark.createDataFrame(rows, "anchor long, tol long, id string, amount long, mark int")
 
